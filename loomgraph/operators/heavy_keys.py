@@ -117,10 +117,10 @@ def per_key(rows: DataFrame, key: str, stamp: str | None = None, value: str | No
     return totals.select("key_value", "n_rows", "n_distinct", F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("last_us").alias("last_at"))
 
 
-def heavy(rows: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """The keys of `per_key` that hold at least `share` of all rows (rows with a null key count in the total).
+def heavy(rows: DataFrame, key: str, percent: int = 1) -> DataFrame:
+    """The keys of `per_key` that hold at least `percent` % of all rows (rows with a null key count in the total).
 
     Columns: key_value, n_rows. An empty table gives no rows.
     """
     total = rows.count()
-    return per_key(rows, key).where(F.col("n_rows") >= F.lit(share) * F.lit(total)).select("key_value", "n_rows")
+    return per_key(rows, key).where(F.col("n_rows") * 100 >= F.lit(percent * total)).select("key_value", "n_rows")
