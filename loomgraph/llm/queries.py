@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, tokens
+from . import packing, quality, tokens
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_containers)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents")).where("p_prose < 0.5").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
 ORACLES = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
