@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, quality, tokens
+from . import neighbours, packing, quality, tokens
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(neighbours.neighbours(table(spark, d, "graph_documents")))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "graph_documents"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +42,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
 ORACLES = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
