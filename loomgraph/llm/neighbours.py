@@ -127,6 +127,7 @@ def _best(ids: np.ndarray, vectors: np.ndarray, k: int):
     """(query index, candidate index, steps of similarity) of the k best others of each row; rows are in the order of ids."""
     n, block = len(ids), 1024
     code = np.unique(ids, return_inverse=True)[1]
+    k += n - int(code.max()) - 1  # ids that have several vectors here
     for start in range(0, n, block):
         q = np.arange(start, min(n, start + block))
         steps = np.rint(vectors[q] @ vectors.T / STEP).astype(np.int64)
@@ -145,7 +146,7 @@ def _rerank(dims: int, k: int):
     def bucket(table: pa.Table):
         if table.num_rows < 2:
             return
-        table = table.sort_by("id")
+        table = table.group_by(["id", "vec"]).aggregate([]).sort_by([("id", "ascending"), ("vec", "ascending")])  # copies of an id
         ids, vectors = table.column("id").combine_chunks(), _matrix(table.column("vec"), dims)
         names = ids.to_numpy(zero_copy_only=False)
         for q, c, s in _best(names, vectors, k):
