@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neighbours, packing, quality, tokens
+from . import neighbours, packing, quality, spellings, tokens
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.same_entities(table(spark, d, "triples"), table(spark, d, "vertices"), table(spark, d, "entity_types"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +46,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_neighbours, p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
 ORACLES = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
