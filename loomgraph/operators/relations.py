@@ -101,7 +101,7 @@ def shortcuts(edges: DataFrame, vertices: DataFrame, relations: tuple[Relation,
             ahead = sorted(family(prop, subs) & present)
             back = sorted({inverse(x) for x in family(prop, subs)} & present)
             parts = [coded.df.where(F.col("code").isin(ahead)).select("src", "dst")] * bool(ahead) + [coded.df.where(F.col("code").isin(back)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))] * bool(back)
-            steps[prop] = None if not parts else (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct()
+            steps[prop] = None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
         return steps[prop]
 
     starred = {prop for r in relations for path in r.paths for prop, many in parse(path) if many and step(prop) is not None}
@@ -131,7 +131,7 @@ def shortcuts(edges: DataFrame, vertices: DataFrame, relations: tuple[Relation,
                 if one is None:
                     before = None
                 else:
-                    before = one.select(F.col("src").alias("origin")).distinct().join(fc.where(F.col("fc") == domain).select(F.col("uri").alias("origin")), "origin", "left_semi").select("origin", F.col("origin").alias("at"))
+                    before = fc.where(F.col("fc") == domain).select(F.col("uri").alias("origin"), F.col("uri").alias("at")).join(one.select(F.col("src").alias("origin")), "origin", "left_semi")
             else:
                 before = frontier(domain, taken[:-1])
             follow = closed(prop) if many else step(prop)
@@ -141,7 +141,8 @@ def shortcuts(edges: DataFrame, vertices: DataFrame, relations: tuple[Relation,
                 frontiers[domain, taken] = before
             else:
                 moved = before.join(follow.select(F.col("src").alias("at"), "dst"), "at").select("origin", F.col("dst").alias("at"))
-                frontiers[domain, taken] = (before.unionByName(moved) if many else moved).distinct()
+                # several ways to one place multiply only where a star follows
+                frontiers[domain, taken] = before.unionByName(moved).distinct() if many else moved
         return frontiers[domain, taken]
 
     found = None
