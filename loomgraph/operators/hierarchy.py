@@ -141,8 +141,9 @@ def resolve(edges: DataFrame) -> DataFrame:
     name counts; a link from a node to itself is a cycle of one; rows with a null end make no link. An empty input
     gives no rows. Other columns are ignored.
     """
-    e = edges.where("child IS NOT NULL AND parent IS NOT NULL").select("hierarchy", "child", "parent").distinct()
-    nodes, up = _numbered(e)
+    held = Cut(edges.where("child IS NOT NULL AND parent IS NOT NULL").select("hierarchy", "child", "parent").distinct())
+    nodes, up = _numbered(held.df)
+    held.drop()
     cyclic = _on_cycles(up.df)
     names = _cycle_names(up.df, cyclic.df, nodes.df)
     ranks = _ranked(_tours(up.df, cyclic.df, nodes.df))
