@@ -15,6 +15,7 @@ their ids as can be neighbours.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +109,7 @@ def _spread(dims, mean, directions, tables, chunks: dict):
                 cells.append(np.full(len(cold), -1))
                 for r in every[hot]:
                     c = chunks[t, int(keys[r, t])]
-                    mine = hash(batch.column(1)[r].as_py()[:16] + batch.column(0)[r].as_py().encode()) % c
+                    mine = zlib.crc32(batch.column(0)[r].as_py().encode()) % c
                     other = np.arange(c)
                     rows.append(np.full(c, r))
                     ts.append(np.full(c, t))
