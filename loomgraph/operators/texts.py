@@ -48,8 +48,11 @@ def chained(documents: DataFrame, edges: DataFrame, thin: int = 400, most: int =
     small, large = sized.where(F.col("n") < thin), sized.where(F.col("n") >= thin)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     sent = both.join(small.select(F.col("uri").alias("src"), F.concat(F.lit("\n\n"), "doc").alias("part"), (F.col("n") + 2).alias("m")), "src").join(large.select(F.col("uri").alias("dst"), "n"), "dst")
-    w = W.partitionBy("dst").orderBy("m", "src").rowsBetween(W.unboundedPreceding, 0)
-    kept = sent.withColumn("total", F.col("n") + F.sum("m").over(w)).where(F.col("total") <= most)
+    # what is kept in the end is kept within its salt as well, so no task sums over all neighbours of a hub
+    kept = sent.withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(64)))
+    for keys in (("dst", "salt"), ("dst",)):
+        w = W.partitionBy(*keys).orderBy("m", "src").rowsBetween(W.unboundedPreceding, 0)
+        kept = kept.withColumn("total", F.col("n") + F.sum("m").over(w)).where(F.col("total") <= most)
     parts = kept.groupBy(F.col("dst").alias("uri")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("m", "src", "part"))), lambda x: x["part"]), "").alias("more"))
     got = large.join(parts, "uri", "left").select("uri", F.concat("doc", F.coalesce("more", F.lit(""))).alias("doc"))
     alone = small.join(kept.select(F.col("src").alias("uri")).distinct(), "uri", "left_anti").select("uri", "doc")
