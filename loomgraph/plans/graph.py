@@ -318,6 +318,12 @@ ORACLES = {
     "personalised_pagerank": _GRAPH + ", " + _pagerank_sql("SELECT src, dst, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e", 5, "uri IN (SELECT uri FROM v WHERE uri LIKE '%/activity/%')") + " SELECT uri, round(rank, 9) AS rank FROM pr_5",
     "entity_documents": _GRAPH + _DOC + "SELECT uri, doc FROM doc",
     "entity_markdown": _GRAPH + _DOC + "SELECT regexp_replace(label, '[^\\p{L}\\p{N}._-]+', '_', 'g')[1:100] || '_' || md5(uri)[1:8] || '.md' AS file_name, '---' || chr(10) || 'URI: ' || uri || chr(10) || 'Label: \"' || replace(label, '\"', '''') || '\"' || chr(10) || 'Type: ' || fc || chr(10) || '---' || chr(10) || chr(10) || doc AS content FROM doc JOIN v USING (uri)",
+    "entity_records": _GRAPH + "SELECT uri, to_json({'uri': uri, 'label': label, 'fc': fc, 'doc_type': doc_type, 'is_doc': is_doc})::VARCHAR AS record FROM v",
+    "chained_documents": _GRAPH + _DOC + """, sz AS (SELECT uri, doc, length(doc) AS n FROM doc), u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+sent AS (SELECT u.src, u.dst, chr(10) || chr(10) || a.doc AS part, a.n + 2 AS m, b.n FROM u JOIN sz a ON a.uri = src AND a.n < 400 JOIN sz b ON b.uri = dst AND b.n >= 400),
+kept AS (SELECT *, n + sum(m) OVER (PARTITION BY dst ORDER BY m, src ROWS UNBOUNDED PRECEDING) AS total FROM sent QUALIFY total <= 5000),
+more AS (SELECT dst AS uri, string_agg(part, '' ORDER BY m, src) AS more FROM kept GROUP BY ALL)
+SELECT uri, doc || coalesce(more, '') AS doc FROM sz LEFT JOIN more USING (uri) WHERE n >= 400 UNION ALL SELECT uri, doc FROM sz WHERE n < 400 AND uri NOT IN (SELECT src FROM kept)""",
     "streamed_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "export_counts": _GRAPH + "SELECT fc, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges FROM (SELECT fc, count(*) AS nodes FROM v GROUP BY ALL) FULL JOIN (SELECT coalesce(v.fc, '') AS fc, count(*) AS edges FROM e LEFT JOIN v ON v.uri = src GROUP BY ALL) USING (fc)",
 }

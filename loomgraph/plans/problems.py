@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import decoded
+from ..functions.typed import FALSE, MONTHS, PLACEHOLDERS, TRUE
 from ..operators import heavy_keys, hierarchy, wide
 from ..session import cut, table
 
@@ -93,7 +94,50 @@ WITH k AS (
   SELECT 'triples.object' AS field, {_sql_term("object")} AS key_value, {_sql_term("subject")} AS v, loaded_at FROM triples
   UNION ALL SELECT 'vertices.name', {_sql_term("name")}, CAST(chunk_no AS VARCHAR), loaded_at FROM vertices)
 """
+_MONTHS = "MAP {" + ", ".join(f"'{form}': '{n:02d}'" for n, forms in enumerate(MONTHS, 1) for form in forms) + "}"
+_NUMBER, _YEAR = "'^\\d{1,2}$'", "'^\\d{4}$'"
+_MONTH = f"coalesce({_MONTHS}[p[2]], CASE WHEN regexp_matches(p[2], {_NUMBER}) THEN lpad(p[2], 2, '0') END)"
+_AMOUNT = "'^(?:[A-Za-z]{3}|[€$£])?\\s*([+-]?)(\\d(?:[\\d.,''’\\s]*\\d)?)[.,](\\d\\d)\\s*(?:[A-Za-z]{3}|[€$£])?$'"
+
+
+def _sql_measure(units: str, factor: str) -> str:
+    form = f"'(?i)^\\+?(\\d+(?:[.,]\\d+)?)\\s*({units})?$'"
+    unit = f"coalesce(nullif(lower(regexp_extract(t, {form}, 2)), ''), bare_unit)"
+    number = f"TRY_CAST(replace(regexp_extract(t, {form}, 1), ',', '.') AS DECIMAL(28, 9))"
+    return f"CASE WHEN regexp_matches(t, {form}) THEN CAST(CAST(round({number} * (CASE {unit} {factor} END), 0) AS BIGINT) AS VARCHAR) END"
+
+
+_CELLS = f"""
+WITH d AS (SELECT {_sql_term("subject")} AS subject, lower(regexp_extract({_sql_term("predicate")}, '([^/#]*)$', 1)) AS k, {_sql_term("object")} AS o FROM triples),
+r AS (SELECT subject, attr, col_type, bare_unit, regexp_replace(o, '^\\s+|\\s+$', '', 'g') AS t FROM d JOIN attribute_catalog ON lower(attr) = k
+  WHERE subject <> '' AND subject NOT LIKE '\\_:%' ESCAPE '\\' AND o IS NOT NULL AND o NOT LIKE '\\_:%' ESCAPE '\\'),
+x AS (SELECT *, string_split_regex(regexp_replace(lower(t), '[t ]\\d{{1,2}}:\\d{{2}}(:\\d{{2}}(\\.\\d+)?)?(z|[+-]\\d{{2}}:?\\d{{2}})?$', ''), '[-/]|[., ]+') AS p FROM r),
+y AS (SELECT *, CASE WHEN len(p) <> 3 THEN NULL
+  WHEN regexp_matches(p[1], {_YEAR}) AND regexp_matches(p[3], {_NUMBER}) THEN p[1] || '-' || {_MONTH} || '-' || lpad(p[3], 2, '0')
+  WHEN regexp_matches(p[3], {_YEAR}) AND regexp_matches(p[1], {_NUMBER}) THEN p[3] || '-' || {_MONTH} || '-' || lpad(p[1], 2, '0')
+  WHEN regexp_matches(p[3], {_YEAR}) AND regexp_matches(p[2], {_NUMBER}) THEN p[3] || '-' || {_MONTHS}[p[1]] || '-' || lpad(p[2], 2, '0') END AS iso FROM x),
+z AS (SELECT subject, attr, CASE col_type
+  WHEN 'text' THEN CASE WHEN lower(t) NOT IN ({", ".join(f"'{x}'" for x in PLACEHOLDERS)}) THEN t END
+  WHEN 'int' THEN CASE WHEN regexp_matches(t, '^[+-]?0*\\d+([.,]0+)?$') THEN CAST(CAST(regexp_extract(t, '^([+-]?\\d+)', 1) AS BIGINT) AS VARCHAR) END
+  WHEN 'int_mm' THEN {_sql_measure("mm|cm|dm|m", "WHEN 'mm' THEN 1 WHEN 'cm' THEN 10 WHEN 'dm' THEN 100 WHEN 'm' THEN 1000")}
+  WHEN 'int_g' THEN {_sql_measure("kg|g", "WHEN 'g' THEN 1 WHEN 'kg' THEN 1000")}
+  WHEN 'decimal2' THEN CASE WHEN regexp_matches(t, {_AMOUNT}) THEN replace(regexp_extract(t, {_AMOUNT}, 1), '+', '') || regexp_replace(regexp_extract(t, {_AMOUNT}, 2), '\\D', '', 'g') || '.' || regexp_extract(t, {_AMOUNT}, 3) END
+  WHEN 'date' THEN CASE WHEN TRY_CAST(iso AS DATE) IS NOT NULL THEN iso END
+  WHEN 'bool' THEN CASE WHEN lower(t) IN ({", ".join(f"'{x}'" for x in TRUE)}) THEN 'true' WHEN lower(t) IN ({", ".join(f"'{x}'" for x in FALSE)}) THEN 'false' END END AS val FROM y),
+n AS (SELECT subject, attr, val, count(*) AS n FROM z WHERE val IS NOT NULL GROUP BY ALL),
+c AS (SELECT subject, attr, val FROM n QUALIFY attr = 'technique' OR row_number() OVER (PARTITION BY subject, attr ORDER BY n DESC, val) = 1)
+"""
+# The columns of the wide table and their types.
+_WIDE = {
+    "inventory_no": "VARCHAR", "title": "VARCHAR", "height": "INTEGER", "width": "INTEGER", "weight": "INTEGER", "page_count": "INTEGER", "acquired_on": "DATE", "last_seen_on": "DATE", "on_display": "BOOLEAN",
+    "insured_value": "DECIMAL(20, 2)", "P82a_begin_of_the_begin": "DATE", "P82b_end_of_the_end": "DATE", "birth_year": "INTEGER", "founded_year": "INTEGER",
+}
 ORACLES = {
+    "p3_wide": _CELLS
+    + "SELECT subject, list_sort(list(val) FILTER (attr = 'technique')) AS technique, "
+    + ", ".join(f"CAST(max(CASE WHEN attr = '{a}' THEN val END) AS {t}) AS {a}" for a, t in _WIDE.items())
+    + " FROM c GROUP BY subject",
+    "p3_found": _CELLS + "SELECT subject, attr, val FROM c",
     "p1_found": _LINKS + "SELECT hierarchy, node, CASE WHEN NOT back THEN 'tree' WHEN depth = 0 THEN 'cycle' ELSE 'below_cycle' END AS state, root_node, CAST(depth AS INTEGER) AS depth FROM found",
     "p1_paths": _LINKS + ", above AS (SELECT hierarchy, unnest(up[2:]) AS node FROM found), n AS (SELECT hierarchy, node, count(*) AS n FROM above GROUP BY ALL) "
     "SELECT f.hierarchy, f.node, coalesce(n.n, 0) AS n_descendants, array_to_string(list_reverse(up), ' > ') AS path FROM found f LEFT JOIN n USING (hierarchy, node)",
