@@ -21,7 +21,10 @@ WEIGHTS = {
     "P1_is_identified_by": 0.4, "P1i_identifies": 0.4,
 }
 # Patterns of predicates that describe the schema, not the entities.
-SCHEMA_PATTERNS = ["rdf-syntax-ns#type", "rdf-schema#", "owl#", "/type", "/subClassOf", "/subPropertyOf", "/domain", "/range"]
+SCHEMA_PATTERNS = [
+    "rdf-syntax-ns#type", "rdf-schema#subClassOf", "rdf-schema#domain", "rdf-schema#range", "rdf-schema#Class", "rdf-schema#subPropertyOf", "rdf-schema#label", "rdf-schema#comment",
+    "owl#", "/type", "/subClassOf", "/domain", "/range",
+]
 # Order in which a category wins over others of the same entity.
 FC_PRIORITY = {"Actor": 6, "Event": 5, "Place": 4, "Concept": 3, "Time": 2, "Thing": 1}
 
