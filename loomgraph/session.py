@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,20 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to Python workers that couldn't import it: neither PYTHONPATH nor their working folder has it."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or (context.master.startswith("local[") and Path.cwd() == root) or getattr(context, "_loomgraph", False):
+        return
+    package = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-loomgraph-')}/loomgraph", "zip", root, "loomgraph")
+    context.addPyFile(package)  # the driver serves the file to all executors
+    context._loomgraph = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of an input folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
