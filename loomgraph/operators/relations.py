@@ -1,9 +1,10 @@
 """Semantic path definitions compiled into join plans that give shortcut edges between entities.
 
 A path is a sequence of properties, a star meaning zero or more steps: `P108i/P9i*/P14/P107i*`. A step follows a property, its
-sub-properties, and the inverses of both backwards. Each step is one equi-join of a frontier (origin, at) with the edges of its property;
-a starred step joins the property's closure, which is computed once by squaring in log2(longest chain) rounds.
-Paths that begin with the same steps share their frontiers.
+sub-properties, and the inverses of both backwards. All paths move at once: a frontier (node, origin, at), where a node stands for the steps
+taken, is joined with the moves of every property in one equi-join for each place in a path, whatever the number of relations.
+A starred step joins the property's closure, which is computed once by squaring in log2(longest chain) rounds.
+Paths that begin with the same steps share their nodes.
 """
 
 from __future__ import annotations
@@ -29,20 +30,110 @@ class Relation:
     paths: tuple[str, ...]
 
 
-# Definitions over the properties that occur in the collections at hand. Others are passed as a parameter.
-CATALOGUE = (
+# All enabled relations of SURVEY Appendix A with their compact paths, and five further paths for the properties of the
+# given tables. Paths whose properties don't occur in an input fall out when they are compiled. Others are passed as a parameter.
+ENABLED = (
+    Relation("thing_place_a", "refers to or is about", "Thing", "Place", ("P67/P55/P89i*", "P62/P89i*", "P67/P89i*", "P62/P53/P89i*", "P128/P67/P89i*", "P130*/P62/P89i*", "P130*/P67/P89i*", "P130*/P128/P67/P89i*", "P130i*/P62/P89i*", "P130i*/P67/P89i*", "P46*/P62/P89i*", "P46*/P128/P67/P89i*", "P106*/P67/P89i*", "P148*/P67/P89i*", "F1*/L11i/P9i*/L1/P62/P89i*")),
+    Relation("thing_place_b", "is referred to at", "Thing", "Place", ("P67i/P94i/P9i*/P7/P89*", "P67i/P128i/P53/P89*", "P62i/P53/P89*", "P62i/P108i/P9i*/P7/P89*")),
+    Relation("thing_place_c", "from (history)", "Thing", "Place", ("P53/P89*", "P54/P89*", "P92i/P9i*/P7/P89*", "P92i/P9i*/P14/P107i*/P74/P89*", "P92i/P9i*/P14/P107i*/P92i/P9i*/P7/P89*", "P25i/P26/P89*", "P25i/P27/P89*", "P12i/P9i*/P7/P89*", "P24i/P9i*/P7/P89*")),
     Relation("thing_place_c_created_in", "created in", "Thing", "Place", ("P92i/P9i*/P7/P89*",)),
-    Relation("thing_place_c_by_person_from", "created by person from", "Thing", "Place", ("P92i/P9i*/P14/P107i*/P74/P89*",)),
-    Relation("thing_place_a", "refers to or is about", "Thing", "Place", ("P67/P55/P89i*", "P62/P89i*")),
+    Relation("thing_place_c_found_acquired", "found or acquired at", "Thing", "Place", ("P12i/P9i*/P7/P89*", "P24i/P9i*/P7/P89*")),
+    Relation("thing_place_c_by_person_from", "created by person from", "Thing", "Place", ("P92i/P9i*/P14/P107i*/P74/P89*", "P92i/P9i*/P14/P107i*/P92i/P7/P89*")),
     Relation("thing_place_c_located_in", "is/was located in", "Thing", "Place", ("P53/P89*",)),
+    Relation("thing_place_c_moved_from", "moved from", "Thing", "Place", ("P25i/P27/P89*",)),
+    Relation("thing_place_c_moved_to", "moved to", "Thing", "Place", ("P25i/P26/P89*",)),
+    Relation("thing_thing_a", "has met", "Thing", "Thing", ("P46i*/P12i/P9i*/P12/P46*",)),
+    Relation("thing_thing_b", "refers to or is about", "Thing", "Thing", ("P130*/P67/P46*", "P62/P46*", "P130*/P46*/P62/P46*", "P130*/P46*/P67/P46*", "P130*/P46*/P128/P67/P46*", "F1*/L11i/P9i*/L1/P46*")),
+    Relation("thing_thing_c", "is referred to by", "Thing", "Thing", ("P46*/P67i/P148i*", "P46*/P67i/P128i/P46i*", "P46*/P62i/P46i*")),
+    Relation("thing_thing_d", "from", "Thing", "Thing", ("P46i*", "P123i/P9i*/P124", "P31i/P9i*/P110", "P31i/P9i*/P112")),
+    Relation("thing_thing_e", "has part", "Thing", "Thing", ("P46*", "P108i/P9i*/P111")),
+    Relation("thing_thing_f", "is similar or same with", "Thing", "Thing", ("P130*", "P130i*", "L54i/L54")),
+    Relation("thing_actor_a", "has met", "Thing", "Actor", ("P46i*/P12i/P9i*/P12/P107i*",)),
+    Relation("thing_actor_b", "is referred to by", "Thing", "Actor", ("P67i/P94i/P9i*/P14/P107i*", "P67i/P128i/P46i*/P108i/P9i*/P14/P107i*", "P62i/P46i*/P108i/P9i*/P14/P107i*")),
+    Relation("thing_actor_c", "refers to or is about", "Thing", "Actor", ("P130*/P62/P107*", "P130*/P67/P107*", "P130*/P128/P67/P107*")),
+    Relation("thing_actor_d", "by", "Thing", "Actor", ("P92i/P9i*/P14/P107i*", "P16i/P9i*/P14/P107i*", "P31i/P9i*/P14/P107i*", "P12i/P9i*/P11/P107i*", "P24i/P22/P107i*", "P51/P107i*")),
     Relation("thing_actor_d_created_by", "created by", "Thing", "Actor", ("P92i/P9i*/P14/P107i*",)),
-    Relation("thing_actor_e", "from (keeper/owner)", "Thing", "Actor", ("P49/P107i*",)),
-    Relation("thing_time_a_created", "created", "Thing", "Time", ("P92i/P4",)),
-    Relation("thing_concept_a", "has type", "Thing", "Concept", ("P2/P127*", "P45/P127*")),
-    Relation("thing_thing_b", "refers to or is about", "Thing", "Thing", ("P130*/P67/P46*", "P62/P46*")),
-    Relation("place_place_c", "borders or overlaps with", "Place", "Place", ("P89i*/P122/P89*",)),
-    Relation("actor_place_d", "has residence in", "Actor", "Place", ("P74/P89*",)),
-    Relation("place_actor_c", "has met", "Place", "Actor", ("P89i*/P74i/P107*",)),
+    Relation("thing_actor_d_used_by", "used by", "Thing", "Actor", ("P16i/P9i*/P14/P107i*",)),
+    Relation("thing_actor_d_modified_by", "modified by", "Thing", "Actor", ("P31i/P9i*/P14/P107i*",)),
+    Relation("thing_actor_d_found_acquired_by", "found or acquired by", "Thing", "Actor", ("P12i/P9i*/P11/P107i*", "P24i/P9i*/P14/P107i*", "P51/P107i*")),
+    Relation("thing_actor_e", "from (keeper/owner)", "Thing", "Actor", ("P49/P107i*", "P51/P107i*")),
+    Relation("thing_event_a", "refers to or is about", "Thing", "Event", ("P130*/P62/P9i*", "P130*/P67/P9i*", "P130*/P128/P67/P9i*", "F1*/L11i/P9i*/L1/P62/P9i*")),
+    Relation("thing_event_b", "is referred to at", "Thing", "Event", ("P67i/P94i/P9i*", "P67i/P128i/P46i*/P108i/P9i*", "P62i/P108i/P9i*")),
+    Relation("thing_event_c", "has met (from)", "Thing", "Event", ("P12i/P9i*",)),
+    Relation("thing_event_c_destroyed_in", "destroyed in", "Thing", "Event", ("P93i/P9i*",)),
+    Relation("thing_event_c_created_in", "created in", "Thing", "Event", ("P92i/P9i*",)),
+    Relation("thing_event_c_modified_in", "modified in", "Thing", "Event", ("P31i/P9i*",)),
+    Relation("thing_event_c_used_in", "used in", "Thing", "Event", ("P16i/P9i*",)),
+    Relation("thing_event_c_digitized_in", "digitized in", "Thing", "Event", ("L1i/P9i*",)),
+    Relation("thing_concept_a", "has type", "Thing", "Concept", ("P2/P127*", "P45/P127*", "P92i/P9i*/P33/P68", "P92i/P9i*/P126")),
+    Relation("thing_concept_a_made_of", "is made of", "Thing", "Concept", ("P45", "P92i/P9i*/P33/P68")),
+    Relation("place_place_c", "borders or overlaps with", "Place", "Place", ("P89i*/P122/P89*", "P89i*/P121/P89*")),
+    Relation("place_thing_a", "refers to", "Place", "Thing", ("P89i*/P53i/P62", "P89i*/P53i/P128/P67", "P89i*/P74i/P51i/P62", "P89i*/P7i/P9*/P94/P67", "P89i*/P7i/P9*/P108/P62")),
+    Relation("place_thing_b", "is referred to by", "Place", "Thing", ("P89*/P67i/P148i*", "P89*/P67i/P128i/P46i*", "P89*/P62i/P46i*")),
+    Relation("place_thing_c", "has met", "Place", "Thing", ("P89i*/P53i/P46*", "P89i*/P7i/P9*/P92/P46*", "P89i*/P74i/P49i/P46*")),
+    Relation("place_actor_a", "refers to", "Place", "Actor", ("P89i*/P53i/P62/P107*", "P89i*/P53i/P128/P67/P107*", "P89i*/P7i/P9*/P94/P67/P107*")),
+    Relation("place_actor_b", "is referred to by", "Place", "Actor", ("P89*/P67i/P94i/P9i*/P14/P107*", "P89*/P62i/P46i*/P108i/P9i*/P14/P107*")),
+    Relation("place_actor_c", "has met", "Place", "Actor", ("P89i*/P74i/P107*", "P89i*/P7i/P9*/P12/P107i*")),
+    Relation("place_actor_c_origin_of", "is origin of", "Place", "Actor", ("P89i*/P7i/P9*/P98/P107*",)),
+    Relation("place_event_a", "has met", "Place", "Event", ("P89i*/P7i/P9i*",)),
+    Relation("place_event_b", "refers to", "Place", "Event", ("P89i*/P53i/P46*/P62/P9*", "P89i*/P53i/P46*/P128/P67/P9*")),
+    Relation("place_event_c", "is referred to at", "Place", "Event", ("P89*/P67i/P130*/P94i/P9i*", "P89*/P67i/P128i/P46i*/P108i/P9i*", "P89*/P62i/P130*/P46i*/P108i/P9i*")),
+    Relation("place_concept_a", "has type", "Place", "Concept", ("P89*/P2/P127*",)),
+    Relation("actor_place_a", "refers to", "Actor", "Place", ("P107*/P14i/P9*/P92/P62/P89i*", "P107*/P14i/P9*/P92/P67/P89i*")),
+    Relation("actor_place_b", "is referred to at", "Actor", "Place", ("P107i*/P67i/P94i/P9i*/P7/P89*", "P107i*/P67i/P128i/P46i*/P53/P89*", "P107i*/P62i/P46i*/P53/P89*", "P107i*/P62i/P46i*/P108i/P9i*/P7/P89*")),
+    Relation("actor_place_c", "has met", "Actor", "Place", ("P107*/P12i/P9i*/P7/P89*", "P107*/P74/P89*")),
+    Relation("actor_place_d", "has residence in", "Actor", "Place", ("P74/P89*", "P107i*/P74/P89*", "P107i*/P92i/P9i*/P7/P89*")),
+    Relation("actor_thing_a", "refers to", "Actor", "Thing", ("P107*/P14i/P9*/P92/P130*/P62", "P107*/P14i/P9*/P92/P130*/P128/P67")),
+    Relation("actor_thing_b", "is referred to by", "Actor", "Thing", ("P107i*/P67i/P148i*", "P107i*/P67i/P128i/P46i*", "P107i*/P62i/P46i*")),
+    Relation("actor_thing_c", "is origin of", "Actor", "Thing", ("P107*/P14i/P9*/P92/P46*", "P107*/P49i/P46*", "P107*/P51i/P46*")),
+    Relation("actor_thing_d", "has met", "Actor", "Thing", ("P12i/P9*/P12",)),
+    Relation("actor_actor_a", "refers to", "Actor", "Actor", ("P107*/P14i/P9*/P92/P130*/P62/P107*", "P107*/P14i/P9*/P92/P130*/P128/P67/P107*")),
+    Relation("actor_actor_b", "has met", "Actor", "Actor", ("P107*/P12i/P9*/P12/P107i*",)),
+    Relation("actor_actor_c", "is referred to by", "Actor", "Actor", ("P107i*/P67i/P94i/P9i*/P14/P107i*", "P107i*/P62i/P46i*/P108i/P9i*/P14/P107i*")),
+    Relation("actor_actor_d", "from", "Actor", "Actor", ("P107i*/P98i/P97", "P107i*/P95i/P9*/P14/P107i*")),
+    Relation("actor_actor_e", "is origin of", "Actor", "Actor", ("P107*/P97i/P98", "P107*/P14i/P9i*/P95/P107*")),
+    Relation("actor_actor_f", "has member", "Actor", "Actor", ("P107*", "P144i/P143i/P107*")),
+    Relation("actor_actor_g", "is member of", "Actor", "Actor", ("P107i*", "P143/P144/P107i*")),
+    Relation("actor_event_a", "refers to", "Actor", "Event", ("P107*/P14i/P9*/P92/P130*/P62/P9*", "P107*/P14i/P9*/P92/P130*/P128/P67/P9*")),
+    Relation("actor_event_b", "is referred to at", "Actor", "Event", ("P107i*/P67i/P94i/P9i*", "P107i*/P62i/P46i*/P108i/P9i*")),
+    Relation("actor_event_c_from", "from", "Actor", "Event", ("P107i*/P95i/P9i*", "P98i/P9i*")),
+    Relation("actor_event_d", "has met", "Actor", "Event", ("P107*/P12i/P9i*",)),
+    Relation("actor_event_d_performed", "performed action at", "Actor", "Event", ("P107*/P14i/P9i*",)),
+    Relation("actor_concept_a", "has type", "Actor", "Concept", ("P107i*/P2/P127*",)),
+    Relation("event_place_a", "refers to", "Event", "Place", ("P9*/P92/P130*/P62/P89i*", "P9*/P92/P130*/P128/P67/P89i*")),
+    Relation("event_place_b", "is referred to at", "Event", "Place", ("P9i*/P67i/P94i/P9i*/P7/P89*", "P9i*/P67i/P128i/P46i*/P53/P89*", "P9i*/P62i/P46i*/P53/P89*")),
+    Relation("event_place_c", "from", "Event", "Place", ("P9i*/P7/P89*",)),
+    Relation("event_thing_a", "refers to or is about", "Event", "Thing", ("P9*/P92/P130*/P62/P46*", "P9*/P92/P130*/P128/P67/P46*")),
+    Relation("event_thing_b", "is referred to by", "Event", "Thing", ("P9i*/P67i/P130*/P148*", "P9i*/P62i/P130*/P46i*")),
+    Relation("event_thing_c", "has met", "Event", "Thing", ("P9*/P12/P46*",)),
+    Relation("event_thing_c_created", "created", "Event", "Thing", ("P9*/P92/P46*",)),
+    Relation("event_thing_c_destroyed", "destroyed", "Event", "Thing", ("P9*/P93/P46*",)),
+    Relation("event_thing_c_modified", "modified", "Event", "Thing", ("P9*/P31/P46*",)),
+    Relation("event_thing_c_used", "used", "Event", "Thing", ("P9*/P16/P46*", "P9*/P125")),
+    Relation("event_actor_a_refers", "refers to or is about", "Event", "Actor", ("P9*/P92/P130*/P62/P107*", "P9*/P92/P130*/P67/P107*", "P9*/P92/P130*/P128/P67/P107*")),
+    Relation("event_actor_b", "is referred to by", "Event", "Actor", ("P9i*/P67i/P130*/P148*/P94i/P9i*/P14/P107i*", "P9i*/P62i/P130*/P46i*/P108i/P9i*/P14/P107i*")),
+    Relation("event_actor_c", "by", "Event", "Actor", ("P9i*/P14/P107i*", "P9i*/P15/P107i*")),
+    Relation("event_actor_d", "has met", "Event", "Actor", ("P9*/P12/P107i*",)),
+    Relation("event_actor_d_brought_into_existence", "brought into existence", "Event", "Actor", ("P9*/P92/P107*",)),
+    Relation("event_actor_d_took_out_of_existence", "took out of existence", "Event", "Actor", ("P9*/P93/P107*",)),
+    Relation("event_event_a_refers", "refers to or is about", "Event", "Event", ("P9*/P92/P130*/P62/P9*", "P9*/P92/P130*/P67/P9*", "P9*/P92/P130*/P128/P67/P9*")),
+    Relation("event_event_b", "is referred to at", "Event", "Event", ("P9*/P67i/P130*/P148*/P94i/P9i*", "P9*/P67i/P128i/P46i*/P108i/P9i*", "P9*/P62i/P130*/P46i*/P108i/P9i*")),
+    Relation("event_concept_a", "has type", "Event", "Concept", ("P9*/P2/P127*",)),
+    Relation("concept_place_a", "is type of", "Concept", "Place", ("P127i*/P2i/P89*",)),
+    Relation("concept_thing_a", "is type of", "Concept", "Thing", ("P127i*/P2i/P46i*",)),
+    Relation("concept_actor_a", "is type of", "Concept", "Actor", ("P127i*/P2i/P107i*",)),
+    Relation("concept_event_a", "is type of", "Concept", "Event", ("P127i*/P2i/P9i*",)),
+    Relation("event_time_a", "occurred at time", "Event", "Time", ("P4/P86*",)),
+    Relation("thing_time_a", "has time", "Thing", "Time", ("P12i/P9i*/P4/P86*", "P24i/P9i*/P4/P86*")),
+    Relation("thing_time_a_created", "created", "Thing", "Time", ("P92i/P4", "P92i/P9i*/P4/P86*")),
+    Relation("thing_time_a_modified", "was modified at time", "Thing", "Time", ("P31i/P9i*/P4/P86*",)),
+    Relation("thing_time_a_moved", "was moved at time", "Thing", "Time", ("P25i/P9i*/P4/P86*",)),
+    Relation("thing_time_a_destroyed", "was destroyed at time", "Thing", "Time", ("P93i/P9i*/P4/P86*",)),
+    Relation("actor_time_a", "participated at time", "Actor", "Time", ("P11i/P9i*/P4/P86*",)),
+    Relation("actor_time_b", "was born or formed at time", "Actor", "Time", ("P92i/P9i*/P4/P86*",)),
+    Relation("actor_time_b_born", "was born at time", "Actor", "Time", ("P98i/P9i*/P4/P86*",)),
+    Relation("actor_time_c", "died or dissolved at time", "Actor", "Time", ("P93i/P9i*/P4/P86*",)),
+    Relation("actor_time_c_died", "died at time", "Actor", "Time", ("P100i/P9i*/P4/P86*",)),
 )
 # Sub-property and super-property of the public ontology, by code.
 SUB_PROPERTIES = (("P108", "P92"), ("P108i", "P92i"), ("P14", "P11"), ("P14i", "P11i"), ("P50", "P49"), ("P50i", "P49i"), ("P55", "P53"), ("P55i", "P53i"), ("P138", "P67"), ("P138i", "P67i"))
@@ -65,6 +156,22 @@ def parse(path: str) -> list[tuple[str, bool]]:
     return [(step.rstrip("*"), step.endswith("*")) for step in path.split("/")]
 
 
+def walkable(path: str, codes: set[str], subs: tuple[tuple[str, str], ...] = SUB_PROPERTIES) -> bool:
+    """Whether a path of MIN_STEPS steps or more can lead anywhere over properties `codes`: the first step and all without a star need an edge."""
+
+    def occurs(prop: str) -> bool:
+        return not codes.isdisjoint(family(prop, subs) | {inverse(x) for x in family(prop, subs)})
+
+    taken = parse(path)
+    return len(taken) >= MIN_STEPS and occurs(taken[0][0]) and all(many or occurs(prop) for prop, many in taken)
+
+
+# Properties between entities in the given tables.
+GIVEN = set("P2 P4 P7 P9 P9i P14 P45 P46 P46i P50 P55 P62 P67 P72 P74 P89 P89i P104 P107 P107i P108i P122 P127 P127i P130 P138".split())
+#: what of ENABLED can give rows over the given tables; the SQL is written for these
+CATALOGUE = tuple(Relation(r.id, r.label, r.domain_fc, r.range_fc, paths) for r in ENABLED if (paths := tuple(p for p in r.paths if walkable(p, GIVEN))))
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """(prop, src, dst): one or more steps over the (src, dst) pairs of each prop, by squaring; cycles end when nothing new is reached.
 
@@ -85,7 +192,7 @@ def closure(pairs: DataFrame) -> DataFrame:
     return state.df
 
 
-def shortcuts(edges: DataFrame, vertices: DataFrame, relations: tuple[Relation, ...] = CATALOGUE, subs: tuple[tuple[str, str], ...] = SUB_PROPERTIES) -> DataFrame:
+def shortcuts(edges: DataFrame, vertices: DataFrame, relations: tuple[Relation, ...] = ENABLED, subs: tuple[tuple[str, str], ...] = SUB_PROPERTIES) -> DataFrame:
     """(src, relation, dst): distinct shortcut edges from (src, dst, p_key) edges and (uri, fc) vertices.
 
     Origins have the relation's domain category and an edge of the path's first property, even if that step is starred; targets
@@ -94,70 +201,66 @@ def shortcuts(edges: DataFrame, vertices: DataFrame, relations: tuple[Relation,
     code = F.regexp_extract("p_key", r"^([a-z]\d+i?)_", 1)
     coded = Cut(edges.select("src", "dst", F.concat(F.upper(F.substring(code, 1, 1)), F.substring(code, 2, 9)).alias("code")).where("code <> ''").distinct())
     present = {r["code"] for r in coded.df.select("code").distinct().collect()}  # bounded by the ontology
-    steps: dict[str, DataFrame | None] = {}
-
-    def step(prop: str) -> DataFrame | None:
-        if prop not in steps:
-            ahead = sorted(family(prop, subs) & present)
-            back = sorted({inverse(x) for x in family(prop, subs)} & present)
-            parts = [coded.df.where(F.col("code").isin(ahead)).select("src", "dst")] * bool(ahead) + [coded.df.where(F.col("code").isin(back)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))] * bool(back)
-            steps[prop] = None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
-        return steps[prop]
 
-    starred = {prop for r in relations for path in r.paths for prop, many in parse(path) if many and step(prop) is not None}
+    # a star without edges stays where it is
+    walks = []
+    for r in relations:
+        for path in r.paths:
+            if walkable(path, present, subs):
+                walks.append((r, tuple((prop, many) for prop, many in parse(path) if present & (family(prop, subs) | {inverse(x) for x in family(prop, subs)}))))
+    if not walks:
+        return edges.select("src", F.lit("").alias("relation"), "dst").where("false")
+    spark = edges.sparkSession
+    props = sorted({prop for _, walk in walks for prop, _ in walk})
+    starred = {prop for _, walk in walks for prop, many in walk if many}
     # the closure of an inverse is the closure read backwards
     once = [prop for prop in sorted(starred) if not (prop.endswith("i") and inverse(prop) in starred)]
-    chains = None
-    for prop in once:
-        some = step(prop).select(F.lit(prop).alias("prop"), "src", "dst")
-        chains = some if chains is None else chains.unionByName(some)
-    reached = closure(chains) if chains is not None else None
-
-    def closed(prop: str) -> DataFrame | None:
-        if prop not in starred:
-            return None
-        if prop in once:
-            return reached.where(F.col("prop") == prop).select("src", "dst")
-        return reached.where(F.col("prop") == inverse(prop)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
+    reading = [(x, prop, False) for prop in props for x in family(prop, subs)] + [(inverse(x), prop, True) for prop in props for x in family(prop, subs)]
+    reading = F.broadcast(spark.createDataFrame(reading, "code string, prop string, back boolean"))
+    ends = (F.when(F.col("back"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("src", "dst"), ("dst", "src")))
+    step = Cut(coded.df.join(reading, "code").select("prop", *ends).distinct())
+    moves = step.df
+    if once:
+        reached = closure(step.df.where(F.col("prop").isin(once)))
+        back = reached.where(F.col("prop").isin([inverse(x) for x in starred if x not in once]))
+        turned = F.when(F.col("prop").endswith("i"), F.expr("substring(prop, 1, length(prop) - 1)")).otherwise(F.concat("prop", F.lit("i")))
+        moves = moves.unionByName(reached.select(F.concat("prop", F.lit("*")).alias("prop"), "src", "dst"))
+        moves = moves.unionByName(back.select(F.concat(turned, F.lit("*")).alias("prop"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     fc = Cut(vertices.select("uri", "fc")).df
-    frontiers: dict[tuple, DataFrame | None] = {}
-
-    def frontier(domain: str, taken: tuple) -> DataFrame | None:
-        if (domain, taken) not in frontiers:
-            prop, many = taken[-1]
-            if len(taken) == 1:
-                one = step(prop)
-                if one is None:
-                    before = None
-                else:
-                    before = fc.where(F.col("fc") == domain).select(F.col("uri").alias("origin"), F.col("uri").alias("at")).join(one.select(F.col("src").alias("origin")), "origin", "left_semi")
-            else:
-                before = frontier(domain, taken[:-1])
-            follow = closed(prop) if many else step(prop)
-            if before is None or (follow is None and not many):
-                frontiers[domain, taken] = None
-            elif follow is None:
-                frontiers[domain, taken] = before
-            else:
-                moved = before.join(follow.select(F.col("src").alias("at"), "dst"), "at").select("origin", F.col("dst").alias("at"))
-                # several ways to one place multiply only where a star follows
-                frontiers[domain, taken] = before.unionByName(moved).distinct() if many else moved
-        return frontiers[domain, taken]
 
+    # a node is a domain with the steps taken; all paths move at once, a join for each place in them
+    nodes: dict[tuple, int] = {}
+    last: dict[int, set] = {}
+    for r, walk in walks:
+        for i in range(1, len(walk) + 1):
+            nodes.setdefault((r.domain_fc, walk[:i]), len(nodes))
+        last.setdefault(nodes[r.domain_fc, walk], set()).add((r.id, r.range_fc))
+    stops = spark.createDataFrame([(n, *x) for n, found in last.items() for x in sorted(found)], "node int, relation string, range_fc string")
+
+    def turns(depth: int) -> DataFrame | None:
+        rows = [(domain, nodes.get((domain, taken[:-1]), -1), taken[-1][0] + "*" * taken[-1][1], taken[-1][1], n) for (domain, taken), n in nodes.items() if len(taken) == depth]
+        return F.broadcast(spark.createDataFrame(rows, "fc string, node int, prop string, many boolean, child int")) if rows else None
+
+    def moved(front: DataFrame, at: str) -> DataFrame:
+        """`front` has origin, at, dst, many and child; a star also stays."""
+        where = F.explode(F.when(F.col("many"), F.array(at, "dst")).otherwise(F.array("dst"))).alias("at")
+        return front.select(F.col("child").alias("node"), "origin", where).where("at IS NOT NULL").distinct()
+
+    begun = moves.join(turns(1), "prop").withColumnRenamed("src", "origin").join(fc.withColumnRenamed("uri", "origin"), ["origin", "fc"])
+    levels = [Cut(moved(begun, "origin"))]
+    while (ahead := turns(len(levels) + 1)) is not None:
+        front = levels[-1].df.join(ahead, "node").select("child", "many", "origin", "prop", F.col("at").alias("src"))
+        # rows of plain steps that lead nowhere have neither a dst nor a star
+        levels.append(Cut(moved(front.join(moves, ["prop", "src"], "left"), "src")))
     found = None
-    for r in relations:
-        for path in r.paths:
-            taken = tuple(parse(path))
-            ends = frontier(r.domain_fc, taken) if len(taken) >= MIN_STEPS else None
-            if ends is None:
-                continue
-            some = ends.where("origin <> at").select(F.col("origin").alias("src"), F.lit(r.id).alias("relation"), F.lit(r.range_fc).alias("range_fc"), F.col("at").alias("dst"))
-            found = some if found is None else found.unionByName(some)
-    if found is None:
-        return edges.select("src", F.lit("").alias("relation"), "dst").where("false")
+    for level in levels:
+        some = level.df.join(F.broadcast(stops), "node").where("origin <> at").select(F.col("origin").alias("src"), "relation", "range_fc", F.col("at").alias("dst"))
+        found = some if found is None else found.unionByName(some)
     kept = found.join(fc.select(F.col("uri").alias("dst"), "fc"), "dst", "left").where((F.coalesce("fc", F.lit("")) == "") | (F.col("fc") == F.col("range_fc")))
-    return Cut(kept.select("src", "relation", "dst").distinct()).df
+    kept = Cut(kept.select("src", "relation", "dst").distinct())
+    for x in (coded, step, *levels):
+        x.drop()
+    return kept.df
 
 
 def uncovered(edges: DataFrame, found: DataFrame) -> DataFrame:

@@ -42,6 +42,19 @@ def test_cycles_end_and_a_leading_star_needs_an_edge(spark):
     assert found(relations.shortcuts(frame(spark, rows), kinds, r)) == [("a", "part", "b"), ("b", "part", "a")]
 
 
+def test_default_relations_are_all_enabled_ones(spark):
+    kinds = fcs(spark, [("t", "Thing"), ("u", "Thing"), ("e", "Event"), ("s", "Time"), ("c", "Concept"), ("n", "Concept"), ("p", "Actor")])
+    rows = [
+        ("t", "p108i_was_produced_by", "e"), ("e", "p4_has_time-span", "s"), ("e", "p14_carried_out_by", "p"), ("t", "p46_is_composed_of", "u"), ("t", "p67i_is_referred_to_by", "u"),
+        ("c", "p127i_has_narrower_term", "n"), ("t", "p2_has_type", "n"), ("t", "p12i_was_present_at", "e"), ("p", "p12i_was_present_at", "e"), ("p", "p107_has_current_or_former_member", "q"),
+    ]
+    got = set(found(relations.shortcuts(frame(spark, rows), kinds)))
+    # of the relations that the default lacked; the last three need a property that the given tables don't have
+    assert {("t", "thing_event_c_created_in", "e"), ("e", "event_time_a", "s"), ("t", "thing_thing_c", "u"), ("c", "concept_thing_a", "t")} <= got
+    assert {("t", "thing_event_c", "e"), ("p", "actor_event_d", "e"), ("t", "thing_time_a", "s")} <= got
+    assert len(relations.ENABLED) == 101 and {r.id for r in relations.CATALOGUE} < {r.id for r in relations.ENABLED}
+
+
 def test_replaced_edges_keep_the_reverse(spark):
     e = frame(spark, [("a", "p", "b"), ("b", "p", "a")])
     f = spark.createDataFrame([(U + "a", "r", U + "b")], "src string, relation string, dst string")
