@@ -27,12 +27,12 @@ def postings(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, over_fetch: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k documents of highest BM25 score, above 0, for each query (query_id, text).
 
     Every different word of a query counts once. Words of queries are joined with the postings of all documents; only postings of words
-    that some query has are shuffled further, and scores are pre-aggregated. With `allowed` (doc_id), the best 5 k of all
-    documents are searched for allowed ones. Equal scores go to the smaller doc_id.
+    that some query has are shuffled further, and scores are pre-aggregated. With `allowed` (doc_id), only those
+    documents are ranked; by the reference's rule, with `over_fetch`, only the best over_fetch * k of all documents are searched for them. Equal scores go to the smaller doc_id.
     """
     index = Cut(postings(documents))
     lengths = index.df.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
@@ -46,7 +46,9 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFra
     scores = hits.groupBy("query_id", "doc_id").agg(F.sum(idf * F.col("tf") / dl).alias("score")).where("score > 0")
     if allowed is None:
         return top(scores, k)
-    return top(top(scores, 5 * k).select("query_id", "doc_id", "score").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    if over_fetch is not None:
+        scores = top(scores, over_fetch * k).select("query_id", "doc_id", "score")
+    return top(scores.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -81,6 +81,14 @@ def test_fusion_cap_and_normalisation_by_hand(spark):
     assert {r["norm"] for r in retrieval.normalised(same).collect()} == {1.0}
 
 
+def test_all_allowed_documents_are_ranked(spark):
+    docs = spark.createDataFrame([(i, "word" + " other" * (i > 8)) for i in range(1, 11)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "word")], "query_id bigint, text string")
+    allowed = docs.where("doc_id > 8")  # longer, so the last of all
+    assert [r["doc_id"] for r in retrieval.bm25(docs, asked, 1, allowed).collect()] == [9]
+    assert retrieval.bm25(docs, asked, 1, allowed, over_fetch=5).count() == 0
+
+
 def test_selection_prefers_other_labels_and_directions(spark):
     rows = [(1, 1, 1.0, 0.0, "x", 0.0, [1.0, 0.0]), (1, 2, 0.95, 0.0, "y", 0.0, [1.0, 0.01]), (1, 3, 0.8, 0.0, "z", 0.0, [0.0, 1.0]), (1, 4, 0.1, 0.0, "q", 0.0, [0.0, 1.0])]
     c = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, norm double, link double, label string, modifier double, vec array<double>")
