@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -13,7 +16,7 @@ def brute(rows, k):
     for i, e in rows:
         if ok(i, e):
             vec.setdefault(i, np.array(e, float) / np.linalg.norm(e))
-    m = np.stack([vec[i] for i in ids]).astype(np.float16).astype(np.float32)
+    m = np.stack([vec[i] for i in ids])
     s = np.round(m @ m.T, 6)
     for a, i in enumerate(ids):
         best[i] = [ids[b] for b in np.lexsort((np.arange(len(ids)), -s[a])) if b != a][:k]
@@ -65,3 +68,27 @@ def test_cut_buckets_give_the_same(spark, monkeypatch):
 def test_too_few(spark, rows):
     assert nb.neighbours(spark.createDataFrame(rows, SCHEMA), 5, 16).count() == 0
     assert nb.pairs(nb.neighbours(spark.createDataFrame(rows, SCHEMA), 5, 16)).columns == ["id_a", "id_b"]
+
+
+FOLDERS = [f for f in os.environ.get("RECALL_DIRS", "/root/testdata/sf0.01 /root/testdata/sf0.1").split() if Path(f).exists()]
+
+
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_recall_against_brute_force_on_the_tables(spark, folder):
+    """Of the five nearest of every 17th id by the given floats, at least 0.99 are found, at each size of the input."""
+    table = spark.read.parquet(f"{folder}/graph_documents.parquet")
+    rows = {r["id"]: r["embedding"] for r in table.select("id", "embedding").collect() if r["id"] and r["embedding"] and len(r["embedding"]) == 128 and None not in r["embedding"] and any(r["embedding"])}
+    ids = sorted(rows)
+    m = np.array([rows[i] for i in ids], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in nb.neighbours(table).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    found = 0
+    asked = range(0, len(ids), 17)
+    for q in asked:
+        s = np.round(m @ m[q], 6)
+        s[q] = -9
+        found += len(got[ids[q]] & {ids[j] for j in np.lexsort((np.arange(len(ids)), -s))[:5]})
+    print(f"recall in {folder}: {found / len(asked) / 5:.4f}")
+    assert found / len(asked) / 5 >= 0.99
