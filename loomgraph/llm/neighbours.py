@@ -39,8 +39,8 @@ WIDTH, SPREAD = 0.75, 20
 FIT_ROWS = 8192
 #: rows from which a bucket is cut into chunks, unless that made more than HOT_KEYS buckets to be known by every task
 CHUNK, HOT_KEYS = 4096, 2**20
-#: bytes that a task of the search should read
-TASK_BYTES = 32 * 2**20
+#: bytes that a task of the search should read; most tasks
+TASK_BYTES, MOST_TASKS = 4 * 2**20, 100_000
 SALTS = 64
 #: cosines are compared in steps of this size, so that rounding breaks no tie
 STEP = 1e-7
@@ -239,7 +239,8 @@ def neighbours(vectors: DataFrame, k: int = 5, dims: int = 128, id_col: str = "i
         search = search.join(ranked.select("id").join(some.select("id"), "id", "left_anti"), "id", "left_anti")
 
     width = max(2, min(round(WIDTH * math.log2(max(2, rows / SPREAD))), dims // TABLES))
-    sample = units.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow()
+    # about FIT_ROWS rows by a hash, at most twice as many
+    sample = units.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // FIT_ROWS))) == 0).select("vec").limit(2 * FIT_ROWS).toArrow()
     index = Index(_matrix(sample.column(0), dims), width)
     sizes = search.select("vec").mapInArrow(_sizes(dims, index), "t int, key bigint, n bigint").groupBy("t", "key").agg(F.sum("n").alias("n"))
     # every hot bucket has more than `chunk` of at most 2 * TABLES * rows entries, so HOT_KEYS bounds what is collected
@@ -247,7 +248,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dims: int = 128, id_col: str = "i
     large = sizes.where(F.col("n") > chunk).select((F.col("key") * TABLES + F.col("t")).alias("code"), F.ceil(F.col("n") / chunk).alias("c")).orderBy("code").toArrow()
     hot, chunks = large.column(0).to_numpy(), large.column(1).to_numpy()
     spread = search.mapInArrow(_spread(dims, index, hot, chunks), "t int, key bigint, cell bigint, side int, id string, vec binary")
-    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * TABLES * (1 + PROBED) * (3 * dims + 64) / TASK_BYTES))
+    tasks = min(MOST_TASKS, max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * TABLES * (1 + PROBED) * (3 * dims + 64) / TASK_BYTES)))
     met = spread.repartition(tasks, "t", "key", "cell").sortWithinPartitions("t", "key", "cell").mapInArrow(_rerank(dims, k), out)
     if copies is not None:
         met = met.unionByName(copies)
