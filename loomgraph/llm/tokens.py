@@ -1,23 +1,23 @@
 """Encoding of a corpus with a public tokenizer.
 
 Method: the tiktoken library with a local rank file. A long text is first cut at safe boundaries, so that no call
-encodes more than SEGMENT characters of ordinary text at once. Ids are decoded back as raw bytes.
+encodes much more than SEGMENT characters at once, whatever the script. Ids are decoded back as raw bytes.
 
-A boundary is safe if the tokenizer's splitting pattern always ends a piece there: between a letter and a following
-character that is no letter. No alternative of the pattern has a letter before a non-letter, none looks
-behind, and the only one that looks ahead concerns runs of white space, so the pieces on both sides are those of the
-whole text.
+A boundary is safe if the tokenizer's splitting pattern always ends a piece there: after a letter before anything that is
+no letter, after a digit before anything that is no digit, and after punctuation before a digit or white space. No alternative of the pattern has such
+neighbours inside a piece, none looks behind, and the only one that looks ahead concerns runs of white space, so the pieces on both sides are those of
+the whole text. Letters and digits of all scripts count. A run of one class, such as 100,000 letters without a break, is one piece of the pattern and stays whole.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: characters after which a text is cut at the next safe boundary
 SEGMENT = 100_000
 
-# letters of the scripts that Python's `re` can name without doubt; other letters only make fewer boundaries
-_SAFE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[\s\d.,;:!?()\[\]-])")
+# only characters that are known to be of a class are named: what one version of Unicode doesn't know yet makes no boundary
+_SAFE = regex.compile(r"(?<=\p{L})(?=[\p{P}\p{S}\p{N}\p{Z}\t\r\n])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}\p{Z}\t\r\n])|(?<=[\p{P}\p{S}])(?=[\p{N}\p{Z}\t\r\n])")
 
 
 @lru_cache(maxsize=4)

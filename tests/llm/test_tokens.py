@@ -35,10 +35,17 @@ def test_round_trip(docs):
 def test_cuts_at_safe_boundaries_change_nothing():
     rng, plain = random.Random(1), tokens.encoding()
     for _ in range(200):
-        text = "".join(rng.choice(["a", "é", "'s", "'re", " ", "  ", "\n", "9", ".", "!?", "ß", "字", "́", "_", "\xa0"]) for _ in range(300))
+        text = "".join(rng.choice(["a", "é", "'s", "'re", "'", " ", "  ", "\n", "9", "٣", "²", ".", "!?", "，", "€", "ß", "字", "ж", "́", "_", "\xa0", "\u2028", "\x1c", "\u0378"]) for _ in range(300))
         assert "".join(tokens.segments(text, 7)) == text
         assert tokens.encode(text, plain, 7) == plain.encode_ordinary(text)
 
 
 def test_empty(spark):
     assert tokens.token_ids(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["壷の図，" * 30_000, "Слово, слово. " * 20_000, "12 345 " * 30_000, "ab1२x٣," * 20_000, "٣٤٥٦ कखग। " * 15_000])
+def test_long_texts_of_any_script_are_cut(text):
+    parts = list(tokens.segments(text))
+    assert "".join(parts) == text and max(map(len, parts)) < tokens.SEGMENT + 100
+    assert tokens.encode(text, tokens.encoding()) == tokens.encoding().encode_ordinary(text)
