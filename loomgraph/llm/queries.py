@@ -13,6 +13,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spellings.same_entities(table(spark, d, "triples"), table(spark, d, "vertices"), table(spark, d, "entity_types"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each URI with the smallest URI of its class, in place of all pairs."""
+    found = spellings.entity_classes(table(spark, d, "triples"), table(spark, d, "vertices"), table(spark, d, "entity_types"))
+    return found.select("uri", "class").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(neighbours.neighbours(table(spark, d, "graph_documents")))
 
@@ -46,7 +52,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_neighbours, p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_neighbours, p6_ids, p6_decoded, p7_found, p7_containers, p8_found, p8_statistics)}
 ORACLES = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
