@@ -31,3 +31,14 @@ def local_name(uri: Column) -> Column:
 def local_key(uri: Column) -> Column:
     """The local name in the form in which predicates and classes are compared."""
     return F.lower(local_name(decoded(uri)))
+
+
+# Codes of three letters for the languages of the collection.
+LANGUAGES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "ita": "it"}
+
+
+def language(tag: Column) -> Column:
+    """`EN`, `en-GB` and `eng` -> en; null stays null."""
+    code = F.lower(F.regexp_extract(F.trim(tag), r"^([A-Za-z]*)", 1))
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, code), code)

@@ -37,11 +37,15 @@ def is_uri(term: Column) -> Column:
     return F.coalesce(term.rlike("^https?://"), F.lit(False))
 
 
-def statements(triples: DataFrame) -> DataFrame:
-    """(s, p, p_key, o): every statement once, terms decoded; ends that name nothing are left out. p_key is the local name in lower case."""
+def statements(triples: DataFrame, schema: Column | None = None) -> DataFrame:
+    """(s, p_key, o, schema): every statement once, terms decoded; ends that name nothing are left out. p_key is the local name in lower case.
+
+    schema tells whether the predicate, in any way it is written, describes the schema; another condition on `p` may be given for it.
+    """
     t = triples.select(decoded(F.col("subject")).alias("s"), decoded(F.col("predicate")).alias("p"), local_key(F.col("predicate")).alias("p_key"), decoded(F.col("object")).alias("o"))
+    t = t.where(named(F.col("s")) & named(F.col("o")) & F.col("p").isNotNull())
     # namespaces vary, so a statement is the same if the local name of its predicate is
-    return t.where(named(F.col("s")) & named(F.col("o")) & F.col("p").isNotNull()).groupBy("s", "p_key", "o").agg(F.min("p").alias("p"))
+    return t.groupBy("s", "p_key", "o").agg(F.max(is_schema_predicate(F.col("p")) if schema is None else schema).alias("schema"))
 
 
 def weight(p_key: Column) -> Column:
@@ -50,11 +54,20 @@ def weight(p_key: Column) -> Column:
     return F.coalesce(F.try_element_at(table, p_key), F.lit(DEFAULT_WEIGHT))
 
 
-def edges(triples: DataFrame, labels: DataFrame) -> DataFrame:
-    """(src, dst, p_key, predicate_label, weight): statements between URIs without schema predicates; `labels` (property, label) is small metadata."""
-    named_p = F.broadcast(labels.select(local_key(F.col("property")).alias("p_key"), F.col("label").alias("predicate_label")).dropDuplicates(["p_key"]))
-    st = statements(triples).where(is_uri(F.col("s")) & is_uri(F.col("o")) & ~is_schema_predicate(F.col("p")))
-    return st.join(named_p, "p_key", "left").select(F.col("s").alias("src"), F.col("o").alias("dst"), "p_key", F.coalesce("predicate_label", "p_key").alias("predicate_label"), weight(F.col("p_key")).alias("weight"))
+def edges(triples: DataFrame, labels: DataFrame, weights: Column | None = None, schema: Column | None = None) -> DataFrame:
+    """`edges_of` all statements of `triples`; `schema` as for `statements`."""
+    return edges_of(statements(triples, schema), labels, weights)
+
+
+def edges_of(st: DataFrame, labels: DataFrame, weights: Column | None = None) -> DataFrame:
+    """(src, dst, p_key, predicate_label, weight): statements (s, p_key, o, schema) between URIs that don't describe the schema.
+
+    `labels` (property, label) is small metadata; of several labels of a property the smallest counts. `weights`, a column on p_key, replaces the table of this module.
+    """
+    named_p = labels.groupBy(local_key(F.col("property")).alias("p_key")).agg(F.min("label").alias("predicate_label"))
+    st = st.where(is_uri(F.col("s")) & is_uri(F.col("o")) & ~F.col("schema"))
+    w = weight(F.col("p_key")) if weights is None else weights
+    return st.join(named_p, "p_key", "left").select(F.col("s").alias("src"), F.col("o").alias("dst"), "p_key", F.coalesce("predicate_label", "p_key").alias("predicate_label"), w.alias("weight"))
 
 
 def vertices(written: DataFrame, types: DataFrame, fcs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -81,27 +94,60 @@ def vertices(written: DataFrame, types: DataFrame, fcs: DataFrame, ends: DataFra
 
 def categories(types: DataFrame, fcs: DataFrame) -> DataFrame:
     """(uri, fc): the category of highest priority among an entity's types; `fcs` (class_local, fc) is small metadata."""
-    known = F.broadcast(fcs.select(F.lower("class_local").alias("k"), F.col("fc")).distinct())
+    known = fcs.select(F.lower("class_local").alias("k"), F.col("fc")).distinct()
     prio = F.create_map(*(F.lit(x) for k, v in FC_PRIORITY.items() for x in (k, v)))
     t = types.select(decoded(F.col("uri")).alias("uri"), local_key(F.col("type_uri")).alias("k")).where(named(F.col("uri"))).join(known, "k")
     return t.groupBy("uri").agg(F.max_by("fc", F.coalesce(F.try_element_at(prio, F.col("fc")), F.lit(0))).alias("fc"))
 
 
+def first_few(frame: DataFrame, keys: list[str], order: list, n: int, spread: str) -> DataFrame:
+    """The first n rows of each group in `order`, with their place `r` from 1. Groups are ranked in 64 parts by `spread` first, so no task ranks a whole large group."""
+    few = frame.withColumn("r", F.row_number().over(W.partitionBy(*keys, F.pmod(F.xxhash64(spread), F.lit(64))).orderBy(*order))).where(F.col("r") <= n)
+    return few.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= n)
+
+
+def in_order(*fields: str):
+    """Aggregate: the array of the last of `fields` in the order of all of them."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(*fields))), lambda x: x[fields[-1]])
+
+
 def degrees(e: DataFrame) -> DataFrame:
     """(uri, degree): incident edge ends; a loop counts twice. Ends are pre-aggregated per task, so hubs cost no more than others."""
     return e.select(F.explode(F.array("src", "dst")).alias("uri")).groupBy("uri").agg(F.count("*").alias("degree"))
 
 
-def neighbours(e: DataFrame, uris: DataFrame) -> DataFrame:
-    """(uri, other, direction, p_key, weight): incident edges of the given (uri) in both directions."""
-    out = e.join(uris.select(F.col("uri").alias("src")), "src", "left_semi").select(F.col("src").alias("uri"), F.col("dst").alias("other"), F.lit("out").alias("direction"), "p_key", "weight")
-    into = e.join(uris.select(F.col("uri").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("uri"), F.col("src").alias("other"), F.lit("in").alias("direction"), "p_key", "weight")
-    return out.unionByName(into)
+def neighbours(e: DataFrame, uris: DataFrame, v: DataFrame | None = None) -> DataFrame:
+    """Incident edges of the given (uri) in both directions: uri, other, direction and the edge's other columns; with vertices (uri, label) the label of the other end."""
+    more = [c for c in e.columns if c not in ("src", "dst")]
+    out = e.join(uris.select(F.col("uri").alias("src")), "src", "left_semi").select(F.col("src").alias("uri"), F.col("dst").alias("other"), F.lit("out").alias("direction"), *more)
+    into = e.join(uris.select(F.col("uri").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("uri"), F.col("src").alias("other"), F.lit("in").alias("direction"), *more)
+    both = out.unionByName(into)
+    if v is None:
+        return both
+    return both.join(v.select(F.col("uri").alias("other"), F.col("label").alias("other_label")), "other", "left").select(*both.columns, F.coalesce("other_label", local_name(F.col("other"))).alias("other_label"))
+
+
+def document_facts(documents: DataFrame) -> DataFrame:
+    """(uri, types, wikidata, images) of (id, all_types, wikidata_id, images): of all rows of an id together, each once, in order; of several Wikidata ids the smallest."""
+    each = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(c, lambda x: x.isNotNull())))))
+    d = documents.select(decoded(F.col("id")).alias("uri"), "all_types", "wikidata_id", "images").where(named(F.col("uri"))).distinct()
+    return d.groupBy("uri").agg(each("all_types").alias("types"), F.min("wikidata_id").alias("wikidata"), each("images").alias("images"))
+
+
+def images(e: DataFrame, literals: DataFrame, by: str = "p138_represents", value: str = "value") -> DataFrame:
+    """(uri, url): addresses of the images that represent an entity, from the literals (uri, prop, vals) of the images."""
+    url = literals.where(F.col("prop") == value).select(F.col("uri").alias("src"), F.explode("vals").alias("url")).where(F.col("url").startswith("http"))
+    return e.where(F.col("p_key") == by).join(url, "src").select(F.col("dst").alias("uri"), "url").distinct()
 
 
 def literals(triples: DataFrame) -> DataFrame:
-    """(uri, prop, vals ARRAY<STRING>): the sorted distinct literals of each property of a URI."""
-    st = statements(triples).where(~is_uri(F.col("o")) & is_uri(F.col("s")))
+    """`literals_of` all statements of `triples`."""
+    return literals_of(statements(triples))
+
+
+def literals_of(st: DataFrame) -> DataFrame:
+    """(uri, prop, vals ARRAY<STRING>): the sorted distinct literals of each property of a URI, from statements (s, p_key, o)."""
+    st = st.where(~is_uri(F.col("o")) & is_uri(F.col("s")))
     return st.groupBy(F.col("s").alias("uri"), F.col("p_key").alias("prop")).agg(F.sort_array(F.collect_set("o")).alias("vals"))
 
 
@@ -111,29 +157,32 @@ def discovered(triples: DataFrame, schema_types: DataFrame) -> DataFrame:
     return s.join(schema_types.select("uri"), "uri", "left_anti")
 
 
-def direct_predicates(e: DataFrame, v: DataFrame, leave_out: list[str], shown: int = 10) -> DataFrame:
-    """(uri, label, total, targets): what an entity is linked to directly, by predicate label; incoming ones read "is target of ...".
+def direct_links(e: DataFrame, covered: Column) -> DataFrame:
+    """(uri, other, label): what an entity is linked to directly, by predicate label; incoming links read "is target of ...".
 
-    Properties in `leave_out` (local names in lower case) are covered by derived relations. At most `shown` target labels are
-    listed, smallest first; total counts all. The many sources of a hub are reduced by a distributed top-n, not collected.
+    Edges for which `covered` holds are told by derived relations.
     """
-    kept = e.where(~F.col("p_key").isin(leave_out))
-    out = kept.select(F.col("src").alias("uri"), F.col("dst").alias("other"), F.col("predicate_label").alias("label"))
-    into = kept.select(F.col("dst").alias("uri"), F.col("src").alias("other"), F.concat(F.lit("is target of "), F.col("predicate_label")).alias("label"))
-    both = out.unionByName(into).distinct().join(v.select(F.col("uri").alias("other"), F.col("label").alias("target")), "other", "left")
+    kept = e.where(~covered)
+    ways = F.explode(F.array(
+        F.struct(F.col("src").alias("uri"), F.col("dst").alias("other"), F.col("predicate_label").alias("label")),
+        F.struct(F.col("dst").alias("uri"), F.col("src").alias("other"), F.concat(F.lit("is target of "), F.col("predicate_label")).alias("label")),
+    ))
+    return kept.select(ways.alias("x")).select("x.*").distinct()
+
+
+def direct_predicates(e: DataFrame, v: DataFrame, covered: Column, shown: int = 10) -> DataFrame:
+    """(uri, label, total, targets): `direct_links` by label; at most `shown` target labels are listed, smallest first, and total counts all."""
+    both = direct_links(e, covered).join(v.select(F.col("uri").alias("other"), F.col("label").alias("target")), "other", "left")
     both = both.select("uri", "label", F.coalesce("target", local_name(F.col("other"))).alias("target"), "other")
     totals = both.groupBy("uri", "label").agg(F.count("*").alias("total"))
-    # two steps, so that no task ranks all targets of a hub
-    salted = both.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(64)))
-    few = salted.withColumn("r", F.row_number().over(W.partitionBy("uri", "label", "salt").orderBy("target", "other"))).where(F.col("r") <= shown)
-    few = few.withColumn("r", F.row_number().over(W.partitionBy("uri", "label").orderBy("target", "other"))).where(F.col("r") <= shown)
-    lists = few.groupBy("uri", "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "target"))), lambda x: x["target"]), "; ").alias("targets"))
-    return totals.join(lists, ["uri", "label"])
+    few = first_few(both, ["uri", "label"], ["target", "other"], shown, "other")
+    return totals.join(few.groupBy("uri", "label").agg(F.array_join(in_order("r", "target"), "; ").alias("targets")), ["uri", "label"])
 
 
-def anonymous_events(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(uri): events without a label of their own and without an identifier edge; the graph is contracted by leaving them out."""
-    identified = e.where(F.col("p_key").isin("p1_is_identified_by")).select(F.col("src").alias("uri")).distinct()
+def anonymous_events(v: DataFrame, e: DataFrame, satellites: DataFrame) -> DataFrame:
+    """(uri): events without a label of their own that aren't identified by a satellite (uri), such as a name; the graph is contracted by leaving them out."""
+    names = e.where(F.col("p_key").isin("p1_is_identified_by", "p1i_identifies")).select(F.col("src").alias("uri"), F.col("dst").alias("name"))
+    identified = names.join(satellites.select(F.col("uri").alias("name")), "name", "left_semi").select("uri").distinct()
     return v.where((F.col("fc") == "Event") & (F.col("label") == local_name(F.col("uri")))).join(identified, "uri", "left_anti").select("uri")
 
 
@@ -143,24 +192,38 @@ def contracted(e: DataFrame, gone: DataFrame) -> DataFrame:
     return e.join(g, "src", "left_anti").join(g.withColumnRenamed("src", "dst"), "dst", "left_anti").select(*e.columns)
 
 
-def satellite_parents(v: DataFrame, e: DataFrame, fcs: tuple[str, ...] = ("Time",)) -> DataFrame:
-    """(satellite, parent): the entity that takes over a satellite: of the sources of its incoming edges that are no satellites the smallest."""
-    sat = v.where(F.col("fc").isin(list(fcs))).select("uri")
-    into = e.join(sat.withColumnRenamed("uri", "dst"), "dst", "left_semi").join(sat.withColumnRenamed("uri", "src"), "src", "left_anti")
-    return into.groupBy(F.col("dst").alias("satellite")).agg(F.min("src").alias("parent"))
+# Properties that date a time-span, those that count first named first.
+BEGIN = ("p82a_begin_of_the_begin", "p81b_begin_of_the_end")
+END = ("p82b_end_of_the_end", "p81a_end_of_the_begin")
+WITHIN = ("p82_at_some_time_within", "p81_ongoing_throughout", "p170i_time_is_defined_by")
+
+
+def time_spans(literals: DataFrame) -> DataFrame:
+    """(uri, span): the dates of every entity that has any, from (uri, prop, vals): "a to b", "from a", "until b", or when it lies within.
+
+    Of several values of a property the smallest counts.
+    """
+    dated = literals.where(F.col("prop").isin(*BEGIN, *END, *WITHIN))
+    value = lambda props: F.coalesce(*(F.min(F.when(F.col("prop") == p, F.element_at("vals", 1))) for p in props))
+    one = dated.groupBy("uri").agg(value(BEGIN).alias("a"), value(END).alias("b"), value(WITHIN).alias("c"))
+    return one.select("uri", time_span_text(F.col("a"), F.col("b"), F.col("c")).alias("span"))
 
 
 def time_span_text(begin: Column, end: Column, within: Column) -> Column:
-    """"a to b", "from a", "until b", "within c" or empty."""
     return (
         F.when(begin.isNotNull() & end.isNotNull(), F.concat(begin, F.lit(" to "), end))
         .when(begin.isNotNull(), F.concat(F.lit("from "), begin))
         .when(end.isNotNull(), F.concat(F.lit("until "), end))
-        .when(within.isNotNull(), F.concat(F.lit("within "), within))
-        .otherwise("")
+        .otherwise(F.coalesce(within, F.lit("")))
     )
 
 
+def dates(spans: DataFrame, e: DataFrame) -> DataFrame:
+    """(uri, date): of what has dates itself, and of what has a time-span that has; of several the smallest."""
+    of = e.where(F.col("p_key").isin("p4_has_time-span", "p4i_is_time-span_of")).join(spans.withColumnRenamed("uri", "dst"), "dst").groupBy(F.col("src").alias("uri")).agg(F.min("span").alias("far"))
+    return spans.join(of, "uri", "full").select("uri", F.coalesce("span", "far").alias("date"))
+
+
 def type_counts(v: DataFrame) -> DataFrame:
     """(doc_type, n) of the documents; an empty type is Unknown."""
     return v.where("is_doc").groupBy(F.when(F.col("doc_type") == "", "Unknown").otherwise(F.col("doc_type")).alias("doc_type")).agg(F.count("*").alias("n"))

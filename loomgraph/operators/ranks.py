@@ -1,53 +1,136 @@
-"""Iterative ranks and distances over edges: PageRank, personalised PageRank, breadth-first search."""
+"""Iterative ranks and distances over edges: PageRank, personalised PageRank for one or many queries, breadth-first search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import Cut
+from .retrieval import top
 
+#: the iterations end when a round moves less than this in all
+TOLERANCE = 1e-6
+MOST_ROUNDS = 200
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seeds: DataFrame | None = None, undirected: bool = False) -> DataFrame:
-    """(uri, rank) after a fixed number of iterations over weighted (src, dst, weight) edges.
+
+def _both_ways(edges: DataFrame, *columns: str) -> DataFrame:
+    return edges.select("src", "dst", *columns).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *columns))
+
+
+def _shares(edges: DataFrame, undirected: bool) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, share) of all edges of a pair together, and (src, out)."""
+    e = edges.withColumn("w", F.col("weight").cast("double")).select("src", "dst", "w")
+    e = (_both_ways(e, "w") if undirected else e).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    out = e.groupBy("src").agg(F.sum("w").alias("out"))
+    return e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), out
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, seeds: DataFrame | None = None, undirected: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
+    """(uri, rank) over weighted (src, dst, weight) edges, iterated until a round moves less than `tolerance` in all.
 
     Without seeds every vertex is a start, with seeds (uri) those among the vertices are, evenly. The mass of vertices without outgoing
-    edges goes to the starts. `undirected` follows every edge both ways. Contributions are pre-aggregated per task before they are
-    shuffled, so a vertex with a third of all edges does no harm. Vertices are the ends of edges; without any there are no rows.
+    edges goes to the starts; that is the same as to let it go and scale all ranks to 1 in the end. `undirected` follows every edge both ways; its steps have real
+    eigenvalues between -damping and damping, so Chebyshev's weights do in 25 rounds what takes 85 otherwise. A round is one join and one aggregation on 8-byte
+    numbers. Contributions are pre-aggregated per task before they are shuffled, so a vertex with a third of all edges does no harm. Vertices are the ends of
+    edges; without any there are no rows.
     """
-    e = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
-    if undirected:
-        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    e = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    out = e.groupBy("src").agg(F.sum("w").alias("out"))
-    links = Cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
-    ends = links.df.select(F.explode(F.array("src", "dst")).alias("uri")).distinct()
-    start = ends if seeds is None else ends.join(seeds.select("uri").distinct(), "uri", "left_semi")
+    shares, _ = _shares(edges, undirected)
+    links = Cut(shares)
+    ids = Cut(links.df.select(F.explode(F.array("src", "dst")).alias("uri")).distinct().select("uri", F.monotonically_increasing_id().alias("id")))
+    start = ids.df if seeds is None else ids.df.join(seeds.select("uri").distinct(), "uri", "left_semi")
     n = start.count()
     if not n:
-        return ends.select("uri", F.lit(0.0).alias("rank")).where("false")
-    base = ends.join(start.select("uri", F.lit(1.0 / n).alias("start")), "uri", "left").join(out.select(F.col("src").alias("uri"), F.lit(True).alias("leads")), "uri", "left")
-    nodes = Cut(base.select("uri", F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("leads", F.lit(False)).alias("leads")))
-    state = Cut(nodes.df.select("uri", "start", "leads", F.col("start").alias("rank")))
-    for _ in range(iterations):
-        t = state.df
-        lost = t.where("NOT leads").agg(F.sum("rank")).first()[0] or 0.0
-        given = links.df.join(t.select(F.col("uri").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("uri")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = (1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("start"))
-        nxt = Cut(nodes.df.join(given, "uri", "left").select("uri", "start", "leads", rank.alias("rank")))
+        return ids.df.select("uri", F.lit(0.0).alias("rank")).where("false")
+    number = lambda end, name: ids.df.select(F.col("uri").alias(end), F.col("id").alias(name))
+    step = Cut(links.df.join(number("src", "id"), "src").join(number("dst", "to"), "dst").select("id", "to", (damping * F.col("share")).alias("share")))
+    links.drop()
+    first = start.select("id", F.lit(1.0 / n).alias("start"))
+    state = Cut(ids.df.select("id").join(first, "id", "left").select("id", F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("start", F.lit(0.0)).alias("rank"), F.lit(0.0).alias("last")))
+    nothing = F.lit(0.0)
+    pull = 1.0
+    for turn in range(MOST_ROUNDS):
+        if undirected and turn:
+            pull = 1 / (1 - damping**2 / 2) if turn == 1 else 1 / (1 - damping**2 * pull / 4)
+        x = state.df
+        given = step.df.join(x.select("id", "rank"), "id").select(F.col("to").alias("id"), nothing.alias("start"), nothing.alias("rank"), nothing.alias("last"), (F.col("rank") * F.col("share")).alias("got"))
+        both = given.unionByName(x.withColumn("got", nothing)).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("start", "rank", "last", "got")))
+        new = pull * ((1 - damping) * F.col("start") + F.col("got") - F.col("last")) + F.col("last") if turn else (1 - damping) * F.col("start") + F.col("got")
+        seen = Observation()
+        nxt = Cut(both.select("id", "start", new.alias("rank"), F.col("rank").alias("last")).observe(seen, F.sum(F.abs(F.col("rank") - F.col("last"))).alias("moved"), F.sum("rank").alias("mass")))
         state.drop()
         state = nxt
-    return state.df.select("uri", "rank")
+        if seen.get["moved"] < tolerance:
+            break
+    step.drop()
+    return ids.df.join(state.df, "id").select("uri", (F.col("rank") / F.lit(seen.get["mass"])).alias("rank"))
+
 
+def ranked_documents(ranks: DataFrame, documents: DataFrame, k: int, per_fc: int | None = None) -> DataFrame:
+    """(uri, rank, fc): the k documents (uri, fc) of highest rank above 0, at most `per_fc` of each category; of equal ranks the smaller uri.
+
+    Ranks are compared in steps of 1e-12. The best of each category are found in two steps, so no task ranks a whole category.
+    """
+    found = documents.join(ranks.where("rank > 0"), "uri").select("uri", "rank", "fc")
+    if per_fc is not None:
+        found = top(found.select(F.col("fc").alias("query_id"), F.col("uri").alias("doc_id"), F.col("rank").alias("score")), per_fc, 12).select(F.col("doc_id").alias("uri"), F.col("score").alias("rank"), F.col("query_id").alias("fc"))
+    return found.orderBy(F.round("rank", 12).desc(), "uri").limit(k)
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int = 3) -> DataFrame:
-    """(uri, distance): fewest undirected steps from any of the sources (uri), up to `depth`."""
-    both = Cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+
+def pushed(edges: DataFrame, seeds: DataFrame, rounds: int = 4, damping: float = 0.85, least: float = 1e-4) -> DataFrame:
+    """(query_id, uri, rank): personalised PageRank of many queries at once, from the seeds (query_id, uri) of each, evenly.
+
+    Mass is pushed along undirected weighted edges: a visit keeps 1 - damping of it and passes the rest on; what is less than `least` isn't
+    passed on and stays, so a query reaches at most 1 / least vertices whatever the size of the graph. What is on its way after `rounds` stays where it is.
+    Mass of seeds that are no vertices is left out; seeds count once.
+    """
+    links = Cut(_shares(edges, True)[0])
+    each = seeds.select("query_id", "uri").distinct()
+    n = each.groupBy("query_id").agg(F.count("*").alias("n"))
+    moving = Cut(each.join(n, "query_id").select("query_id", "uri", (1.0 / F.col("n")).alias("mass")))
+    kept, cuts = [], [moving]
+    for _ in range(rounds):
+        large = F.col("mass") >= least
+        kept.append(moving.df.select("query_id", "uri", F.when(large, (1 - damping) * F.col("mass")).otherwise(F.col("mass")).alias("mass")))
+        sent = moving.df.where(large).join(links.df.withColumnRenamed("src", "uri"), "uri")
+        moving = Cut(sent.groupBy("query_id", F.col("dst").alias("uri")).agg(F.sum(damping * F.col("mass") * F.col("share")).alias("mass")))
+        cuts.append(moving)
+    kept.append(moving.df)
+    whole = kept[0]
+    for x in kept[1:]:
+        whole = whole.unionByName(x)
+    result = Cut(whole.groupBy("query_id", "uri").agg(F.sum("mass").alias("rank")))
+    for x in (links, *cuts):
+        x.drop()
+    return result.df
+
+
+def distances(edges: DataFrame, sources: DataFrame, depth: int = 3, targets: DataFrame | None = None) -> DataFrame:
+    """(uri, distance): fewest undirected steps from any of the sources (uri), up to `depth`; with targets (uri) for these only, -1 for those farther off."""
+    both = _both_ways(edges)
     seen = Cut(sources.select("uri", F.lit(0).alias("distance")).distinct())
     for k in range(1, depth + 1):
         last = seen.df.where(F.col("distance") == k - 1).select(F.col("uri").alias("src"))
-        new = both.df.join(last, "src", "left_semi").select(F.col("dst").alias("uri")).distinct().join(seen.df.select("uri"), "uri", "left_anti")
+        new = both.join(last, "src", "left_semi").select(F.col("dst").alias("uri")).distinct().join(seen.df.select("uri"), "uri", "left_anti")
         nxt = Cut(seen.df.unionByName(new.select("uri", F.lit(k).alias("distance"))))
         seen.drop()
         seen = nxt
-    return seen.df
+    if targets is None:
+        return seen.df
+    return targets.select("uri").distinct().join(seen.df, "uri", "left").select("uri", F.coalesce("distance", F.lit(-1)).alias("distance"))
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance) of the pairs (a, b) that are one to three undirected steps apart.
+
+    Neighbours of both ends are laid side by side: an edge between the ends, a common neighbour, or an edge between two neighbours. Hubs between them are never
+    expanded, so the work is that of the ends' own edges.
+    """
+    both = _both_ways(edges).where("src <> dst").distinct()
+    p = Cut(pairs.select("a", "b").where("a <> b").distinct())
+    near = lambda end, name: both.join(p.df.select(F.col(end).alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias(end), F.col("dst").alias(name))
+    of_a, of_b = Cut(near("a", "x")), Cut(near("b", "y"))
+    one = p.df.join(of_a.df.select("a", F.col("x").alias("b")), ["a", "b"], "left_semi").withColumn("distance", F.lit(1))
+    sides = p.df.join(of_a.df, "a").join(of_b.df, "b")
+    two = sides.where("x = y").select("a", "b", F.lit(2).alias("distance"))
+    three = sides.join(both.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_semi").select("a", "b", F.lit(3).alias("distance"))
+    return one.unionByName(two).unionByName(three).groupBy("a", "b").agg(F.min("distance").alias("distance"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,8 +15,8 @@ from ..session import Cut
 K1, B = 1.5, 0.75
 RRF = 60
 ALPHA, DIVERSITY, SIBLING = 0.7, 0.2, 0.3
-#: queries of one block of the exact vector search: a block's vectors are held by every task
-QUERY_BLOCK = 4096
+#: rows of a block of queries and of a block of vectors in the exact vector search; a task holds one of each
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 
 
 def postings(documents: DataFrame) -> DataFrame:
@@ -51,61 +49,60 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFra
     return top(scores.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
 
 
-def top(scores: DataFrame, k: int) -> DataFrame:
-    """The k best (query_id, doc_id, score) rows of each query, with rank from 1; salted, so that no task ranks all rows of a query."""
-    order = [F.round("score", 9).desc(), F.col("doc_id")]
+def top(scores: DataFrame, k: int, places: int = 9) -> DataFrame:
+    """The k best (query_id, doc_id, score) rows of each query, with rank from 1; salted, so that no task ranks all rows of a query. Scores equal to `places` go to the smaller doc_id."""
+    order = [F.round("score", places).desc(), F.col("doc_id")]
     salted = scores.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)))
     few = salted.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("rank") <= k)
     return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", within: str | None = None) -> DataFrame:
     """(query_id, doc_id, distance, rank): the k nearest of all (doc_id, vec) for every (query_id, vec), exactly.
 
-    metric l2 gives the squared Euclidean distance, cosine 1 - cosine. Queries go in blocks of QUERY_BLOCK at most, each
-    block once over all rows; a task keeps k rows per query. Vectors of another length than the first query's, or with nulls,
-    are left out. Equal distances (to 9 decimals) go to the smaller doc_id.
+    metric l2 gives the squared Euclidean distance, cosine 1 - cosine. Queries meet vectors of their own length; vectors that are null or hold a null take no part. Both sides are cut
+    into blocks, every pair of blocks is a cell that is searched in one task, and k rows per query leave it, so nothing passes through the driver. Equal distances
+    (to 9 decimals) go to the smaller doc_id. With `within`, a column of both sides, only rows that agree in it meet.
     """
-    q = queries.where(F.col("vec").isNotNull())
-    blocks = max(1, -(-q.count() // (QUERY_BLOCK // 2)))
-    parts = []
-    for b in range(blocks):
-        held = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("vec").cast("array<double>")).collect()
-        if not held:
-            continue
-        dims = len(held[0]["vec"])
-        held = [r for r in held if len(r["vec"]) == dims]
-        ids, m = np.array([r["query_id"] for r in held], np.int64), np.array([r["vec"] for r in held])
-        parts.append(vectors.where(F.size("vec") == dims).select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(_nearest(ids, m, k, metric), "query_id bigint, doc_id bigint, distance double"))
-    if not parts:
-        return vectors.select(F.lit(0).cast("bigint").alias("query_id"), "doc_id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
-    met = parts[0]
-    for p in parts[1:]:
-        met = met.unionByName(p)
-    w = W.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _nearest(ids: np.ndarray, m: np.ndarray, k: int, metric: str):
-    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if metric == "l2":
-                d = (m**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * m @ x.T
-            else:
-                d = 1 - unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            d = np.concatenate([best_d, d], 1)
-            i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], 1)
-            order = np.lexsort((i, np.round(d, 9)), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        if best_d.size:
-            each = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, each)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "doc_id", "distance"])
+    more = [within] if within else []
+    usable = lambda f: f.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).withColumn("vec", F.col("vec").cast("array<double>")).withColumn("dims", F.size("vec"))
+    q, v = usable(queries.select("query_id", "vec", *more)), usable(vectors.select("doc_id", "vec", *more))
+    qs, vs = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("query_id", "vec", "dims", *more, block("query_id", qs).alias("qb"), every(vs).alias("vb"))
+    right = v.select("doc_id", "vec", "dims", *more, every(qs).alias("qb"), block("doc_id", vs).alias("vb"))
+    types = {c: f.schema[c].dataType.simpleString() for f, c in ((q, "query_id"), (v, "doc_id"))}
+    cell = ("dims", *more, "qb", "vb")
+    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(k, metric), f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")
+    return top(met.select("query_id", "doc_id", (-F.col("distance")).alias("score")), k).select("query_id", "doc_id", (-F.col("score")).alias("distance"), "rank")
+
+
+def _cell(k: int, metric: str):
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        names = ["query_id", "doc_id", "distance"]
+        if not queries.num_rows or not vectors.num_rows:
+            return pa.table([queries.column("query_id").slice(0, 0), vectors.column("doc_id").slice(0, 0), pa.array([], pa.float64())], names=names)
+        vectors = vectors.sort_by("doc_id")
+        m, x = matrix(queries), matrix(vectors)
+        if metric == "cosine":
+            m, x = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300) for y in (m, x))
+        size, top_, q, c, d = (x**2).sum(1), min(k, len(x)), [], [], []
+        for start in range(0, len(m), 256):
+            part = m[start : start + 256]
+            far = 1 - part @ x.T if metric == "cosine" else (part**2).sum(1)[:, None] + size[None, :] - 2 * part @ x.T
+            near = np.round(far, 9)
+            qi, ci = np.nonzero(near <= np.partition(near, top_ - 1, axis=1)[:, top_ - 1 : top_])
+            order = np.lexsort((ci, near[qi, ci], qi))
+            qi, ci = qi[order], ci[order]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            q.append(qi[place < k] + start)
+            c.append(ci[place < k])
+            d.append(far[qi, ci][place < k])
+        return pa.table([queries.column("query_id").take(pa.array(np.concatenate(q))), vectors.column("doc_id").take(pa.array(np.concatenate(c))), pa.array(np.concatenate(d))], names=names)
 
     return run
 
@@ -141,13 +138,85 @@ def normalised(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("norm", F.when(high - low < 1e-10, 1.0).otherwise((F.col("score") - low) / (high - low)))
 
 
+# How much a type raises or lowers a score, by local name or label.
+TYPE_MODIFIERS = {
+    "E22_Man-Made_Object": 0.05, "E22_Human-Made_Object": 0.05, "Human-Made Object": 0.05, "Man-Made Object": 0.05, "E24_Physical_Human-Made_Thing": 0.05, "Physical Human-Made Thing": 0.05,
+    "Physical Man-Made Thing": 0.05, "E39_Actor": 0.05, "Actor": 0.05, "E21_Person": 0.05, "Person": 0.05, "E74_Group": 0.05, "Group": 0.05, "E7_Activity": 0.03, "Activity": 0.03,
+    "E5_Event": 0.03, "Event": 0.03, "E53_Place": 0.03, "Place": 0.03, "E18_Physical_Thing": 0.03, "Physical Thing": 0.03, "Linguistic Object": -0.35, "E33_Linguistic_Object": -0.35,
+    "E33_E41_Linguistic_Appellation": -0.35, "E41_E33_Linguistic_Appellation": -0.35, "Linguistic Appellation": -0.35, "Inscription": -0.40, "E34_Inscription": -0.40,
+    "E31_Document": -0.20, "Document": -0.20, "Appellation": -0.25, "E41_Appellation": -0.25, "PC67_refers_to": -0.25,
+}
+# Types that say little by themselves.
+NON_INFORMATIVE = (
+    "Linguistic Object", "E33_Linguistic_Object", "E33_E41_Linguistic_Appellation", "E41_E33_Linguistic_Appellation", "Linguistic Appellation", "Inscription", "E34_Inscription",
+    "Appellation", "E41_Appellation", "PC67_refers_to",
+)
+# Bonus by steps from what a talk is about; degree from which an entity is lowered, and by how much; degree from which it is no seed.
+FOCUS = {1: 0.15, 2: 0.10, 3: 0.05}
+MEGA, MEGA_PENALTY, HUB = 2000, 0.15, 500
+#: a category with fewer documents is searched as another one
+SPARSE = 5
+
+
+def type_modifier(doc_type, all_types):
+    """The modifier of the first type, else of the first of all types that has one, else 0."""
+    table = F.create_map(*(F.lit(x) for pair in TYPE_MODIFIERS.items() for x in pair))
+    others = F.filter(F.transform(all_types, lambda t: F.try_element_at(table, F.regexp_extract(t, r"([^/#]*)$", 1))), lambda m: m.isNotNull())
+    return F.coalesce(F.try_element_at(table, doc_type), F.try_element_at(others, F.lit(1)), F.lit(0.0))
+
+
+def non_informative(doc_type, all_types):
+    names = F.array(*(F.lit(x) for x in NON_INFORMATIVE))
+    return F.coalesce(doc_type.isin(*NON_INFORMATIVE) | F.arrays_overlap(F.transform(all_types, lambda t: F.regexp_extract(t, r"([^/#]*)$", 1)), names), F.lit(False))
+
+
+def focus_bonus(distances: DataFrame) -> DataFrame:
+    """`distances` with the bonus of their column distance in its place, where there is one."""
+    table = F.create_map(*(F.lit(x) for pair in FOCUS.items() for x in pair))
+    return distances.withColumn("bonus", F.try_element_at(table, "distance")).where("bonus IS NOT NULL").drop("distance")
+
+
+def seeds_without_hubs(seeds: DataFrame, degrees: DataFrame, most: int = HUB) -> DataFrame:
+    """(query_id, uri) of `seeds` (query_id, uri, rank) with fewer than `most` edges (uri, degree); of a query that has none the first."""
+    known = seeds.join(degrees, "uri", "left").withColumn("hub", F.coalesce("degree", F.lit(0)) >= most)
+    some = known.withColumn("few", F.min(F.col("hub").cast("int")).over(W.partitionBy("query_id"))).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    return some.where("NOT hub OR (few = 1 AND r = 1)").select("query_id", "uri")
+
+
+def excluded(ranked: DataFrame, shown: DataFrame) -> DataFrame:
+    """`ranked` without the (query_id, doc_id) that were shown before; ranks close up."""
+    kept = ranked.join(shown.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+
+
+def interleaved(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, rank): the lists (query_id, doc_id, rank) taken in turn, each document once, k in all."""
+    both = first.select("query_id", "doc_id", (2 * F.col("rank")).alias("place")).unionByName(second.select("query_id", "doc_id", (2 * F.col("rank") + 1).alias("place")))
+    once = both.groupBy("query_id", "doc_id").agg(F.min("place").alias("place"))
+    return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "doc_id"))).where(F.col("rank") <= k).select("query_id", "doc_id", "rank")
+
+
+def batches(sized: DataFrame, steps: tuple[tuple[int, int], ...] = ((4000, 4), (8000, 8), (16000, 16)), whole: int = 64) -> DataFrame:
+    """(id, batch): texts (id, n characters) in batches of equal cost, in the order of their length.
+
+    A batch has `whole` texts, divided by the factor of the largest step that a text reaches. Texts of a step are counted per bucket of lengths, so no task orders all of them.
+    """
+    factor = F.lit(1)
+    for least, by in steps:
+        factor = F.when(F.col("n") >= least, by).otherwise(factor)
+    rows = sized.withColumn("factor", factor).withColumn("bucket", F.expr("n div 64"))
+    before = rows.groupBy("factor", "bucket").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(W.partitionBy("factor").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(W.partitionBy("factor", "bucket").orderBy("n", "id")) - 1
+    return rows.join(before.select("factor", "bucket", "before"), ["factor", "bucket"]).select("id", F.concat_ws("-", "factor", F.floor((F.col("before") + place) * F.col("factor") / whole)).alias("batch"))
+
+
 def selected(candidates: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, turn): a greedy choice of k candidates by relevance, connection and diversity.
 
-    candidates: query_id, doc_id, norm, link, label, modifier, vec; a query has at most a few hundred of them, as they come from ranked lists
-    cut to a pool. The first is the most relevant. Later ones maximise ALPHA * norm + (1 - ALPHA) * link - DIVERSITY times the
-    largest cosine to a chosen one (times SIBLING if a chosen one has the same label), all times 1 + modifier, of equal ones the
-    smaller doc_id.
+    candidates: query_id, doc_id, norm, link, label, modifier, bonus, degree, vec; a query has at most a few hundred of them, as they come from ranked lists
+    cut to a pool. The first is the one with the most norm times 1 + modifier. Later ones maximise ALPHA * norm + (1 - ALPHA) * link - DIVERSITY times the
+    largest cosine to a chosen one (times SIBLING if a chosen one has the same label but for case and outer white space), all times 1 + modifier, plus bonus, less MEGA_PENALTY
+    if the degree is above MEGA; of equal ones the smaller doc_id.
     """
 
     def choose(c: pd.DataFrame) -> pd.DataFrame:
@@ -156,14 +225,16 @@ def selected(candidates: DataFrame, k: int = 10) -> DataFrame:
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         sims, boost = v @ v.T, 1 + c["modifier"].to_numpy()
         base = ALPHA * c["norm"].to_numpy() + (1 - ALPHA) * c["link"].to_numpy()
+        more = c["bonus"].to_numpy() - np.where(c["degree"].to_numpy() > MEGA, MEGA_PENALTY, 0.0)
         chosen = [int(np.argmax(np.round(c["norm"].to_numpy() * boost, 12)))]
-        labels = c["label"].to_numpy()
+        labels = c["label"].fillna("").str.lower().str.strip().to_numpy()
         while len(chosen) < min(k, len(c)):
             near = sims[:, chosen].max(1)
-            same = np.isin(labels, labels[chosen])
-            value = np.round((base - DIVERSITY * near * np.where(same, SIBLING, 1.0)) * boost, 12)
+            same = np.isin(labels, labels[chosen]) & (labels != "")
+            value = np.round((base - DIVERSITY * near * np.where(same, SIBLING, 1.0)) * boost + more, 12)
             value[chosen] = -np.inf
             chosen.append(int(np.argmax(value)))
-        return pd.DataFrame({"query_id": c["query_id"].iloc[0], "doc_id": c["doc_id"].to_numpy()[chosen], "turn": np.arange(1, len(chosen) + 1, dtype=np.int32)})
+        return c.iloc[chosen][["query_id", "doc_id"]].assign(turn=np.arange(1, len(chosen) + 1, dtype=np.int32))
 
-    return candidates.groupBy("query_id").applyInPandas(choose, "query_id bigint, doc_id bigint, turn int")
+    types = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
+    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {types['query_id']}, doc_id {types['doc_id']}, turn int")

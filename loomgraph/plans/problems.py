@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.terms import decoded
 from ..functions.typed import FALSE, MONTHS, PLACEHOLDERS, TRUE
 from ..operators import heavy_keys, hierarchy, wide
-from ..session import cut, table
+from ..session import cut, spread, table
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve(hierarchy.links(table(spark, d, "triples"), table(spark, d, "hierarchy_props")))
+    return hierarchy.resolve(hierarchy.links(spread(table(spark, d, "triples").select("subject", "predicate", "object")), table(spark, d, "hierarchy_props")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,11 +33,11 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return wide.cells(table(spark, d, "triples"), table(spark, d, "attribute_catalog"))
+    return wide.cells(spread(table(spark, d, "triples").select("subject", "predicate", "object")), table(spark, d, "attribute_catalog"))
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide.typed_wide(table(spark, d, "triples"), table(spark, d, "attribute_catalog"))
+    return wide.typed_wide(spread(table(spark, d, "triples").select("subject", "predicate", "object")), table(spark, d, "attribute_catalog"))
 
 
 def _keyed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.terms import LANGUAGES, language
 from ..operators import retrieval
-from ..session import cut, table
+from ..session import table
 
 
 def _asked(documents: DataFrame) -> DataFrame:
@@ -47,13 +48,13 @@ def bm25_top(spark, d):
 def bm25_typed(spark, d):
     """English documents among the best 50 of all, which is the reference's rule."""
     docs = table(spark, d, "documents")
-    return _out(retrieval.bm25(docs, _asked(docs), 10, docs.where("lang = 'en'"), over_fetch=5))
+    return _out(retrieval.bm25(docs, _asked(docs), 10, docs.where(language(F.col("lang")) == "en"), over_fetch=5))
 
 
 def bm25_typed_whole(spark, d):
     """Among all English documents."""
     docs = table(spark, d, "documents")
-    return _out(retrieval.bm25(docs, _asked(docs), 10, docs.where("lang = 'en'")))
+    return _out(retrieval.bm25(docs, _asked(docs), 10, docs.where(language(F.col("lang")) == "en")))
 
 
 def knn_l2(spark, d):
@@ -88,16 +89,7 @@ def normalised_scores(spark, d):
     return _out(retrieval.normalised(_scored(_near(spark, d, 20, "l2"))), "norm")
 
 
-def coherent_selection(spark, d):
-    """Ten of the 60 nearest by relevance, connection and diversity; an entry is connected if it has the label of the nearest."""
-    v = _vectors(spark, d)
-    pool = cut(retrieval.normalised(_scored(_near(spark, d, 60, "cosine"))).join(v, "doc_id"))
-    first = pool.where("rank = 1").select("query_id", F.col("label").alias("best"))
-    pool = pool.join(first, "query_id").select("query_id", "doc_id", "norm", (F.col("label") == F.col("best")).cast("double").alias("link"), F.col("label").cast("string").alias("label"), F.lit(0.0).alias("modifier"), "vec")
-    return retrieval.selected(pool, 10)
-
-
-QUERIES = {f.__name__: f for f in (bm25_statistics, bm25_top, bm25_typed, bm25_typed_whole, knn_l2, knn_cosine, knn_typed, rrf_three, slot_merge, ratio_cap, normalised_scores, coherent_selection)}
+QUERIES = {f.__name__: f for f in (bm25_statistics, bm25_top, bm25_typed, bm25_typed_whole, knn_l2, knn_cosine, knn_typed, rrf_three, slot_merge, ratio_cap, normalised_scores)}
 
 _BM25 = """
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
@@ -114,12 +106,13 @@ l AS (SELECT query_id, doc_id, l2 AS distance, 1 / (1 + l2) AS score, row_number
 c AS (SELECT query_id, doc_id, cs AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(cs, 9), doc_id) AS rank FROM a),
 t AS (SELECT query_id, doc_id, l2 AS distance, 1 / (1 + l2) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(l2, 9), doc_id) AS rank FROM a WHERE label = 0)
 """
+_ENGLISH = "lower(regexp_extract(trim(lang), '^([A-Za-z]*)', 1)) IN ('en', " + ", ".join(f"'{k}'" for k, v in LANGUAGES.items() if v == "en") + ")"
 _TOP = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank"
 ORACLES = {
     "bm25_statistics": _BM25 + "SELECT doc_id, CAST(sum(tf) AS BIGINT) AS length, count(*) AS terms FROM p GROUP BY ALL",
     "bm25_top": _BM25 + "SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10",
-    "bm25_typed": _BM25 + f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, r.doc_id, score, {_TOP.replace('doc_id)', 'r.doc_id)')} FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 50 AND lang = 'en') WHERE rank <= 10",
-    "bm25_typed_whole": _BM25 + f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, r.doc_id, score, {_TOP.replace('doc_id)', 'r.doc_id)')} FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE lang = 'en') WHERE rank <= 10",
+    "bm25_typed": _BM25 + f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, r.doc_id, score, {_TOP.replace('doc_id)', 'r.doc_id)')} FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 50 AND {_ENGLISH}) WHERE rank <= 10",
+    "bm25_typed_whole": _BM25 + f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, r.doc_id, score, {_TOP.replace('doc_id)', 'r.doc_id)')} FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE {_ENGLISH}) WHERE rank <= 10",
     "knn_l2": _KNN + "SELECT query_id, doc_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM l WHERE rank <= 10",
     "knn_cosine": _KNN + "SELECT query_id, doc_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= 10",
     "knn_typed": _KNN + "SELECT query_id, doc_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -46,12 +48,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than there are cores, such as those of one small file, divided evenly over the cores."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, a temporary one only on a single machine."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-loomgraph-")
     if not context.getCheckpointDir():
@@ -62,18 +70,28 @@ def shared_folder(spark: SparkSession) -> str:
 class Cut:
     """A DataFrame written to the shared folder and read again, so that its lineage ends there.
 
-    The files survive the loss of executors. `drop()` deletes them once no later step reads them;
-    what is not dropped stays until the owner of the shared folder clears it.
+    The files survive the loss of executors. `drop()` deletes them once no later step reads them. What a lazy result
+    still reads is dropped by `release()`, which the owner of the result calls after reading it, or at the end of the program.
     """
 
+    live: dict[str, Cut] = {}
+
     def __init__(self, frame: DataFrame):
         spark = frame.sparkSession
         self.path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+        self.kept = False
+        Cut.live[self.path] = self
         frame.write.parquet(self.path)
         # the schema is known, so reading again needs no job to infer it
         self.df = spark.read.schema(frame.schema).parquet(self.path)
 
+    def keep(self) -> Cut:
+        """`release()` leaves it, as it belongs to the session."""
+        self.kept = True
+        return self
+
     def drop(self) -> None:
+        Cut.live.pop(self.path, None)
         spark = self.df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -82,3 +100,17 @@ class Cut:
 def cut(frame: DataFrame) -> DataFrame:
     """`Cut` for results that are needed until the end of the query."""
     return Cut(frame).df
+
+
+def release(everything: bool = False) -> int:
+    """Deletes the tables of results that have been read by now, also the session's own if `everything`; their number."""
+    dropped = [x for x in list(Cut.live.values()) if everything or not x.kept]
+    for x in dropped:
+        try:
+            x.drop()
+        except Exception:  # the session has ended: a local folder can still be cleared
+            shutil.rmtree(x.path.removeprefix("file:"), ignore_errors=True)
+    return len(dropped)
+
+
+atexit.register(release, True)

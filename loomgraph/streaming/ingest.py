@@ -17,15 +17,21 @@ def windowed(stream: DataFrame, length: str = "1 day", late: str = "1 hour") ->
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "value")
 
 
-def run_once(frame: DataFrame, folder: str) -> DataFrame:
-    """What a stream's aggregation is after all that has arrived; a rerun with the same folder goes on where it ended."""
+def run_once(frame: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The rows of a stream after all that has arrived, one per `keys`; a rerun with the same folder goes on where it ended.
+
+    Windows that the watermark has passed are written once and their state is freed; those still open are written with every batch they change in, and the
+    last batch counts. Each batch replaces its own folder, so repeating one changes nothing.
+    """
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/data")  # the whole result, so repeating a batch changes nothing
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/data/batch={epoch}")
 
-    query = frame.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
+    query = frame.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    return frame.sparkSession.read.parquet(f"{folder}/data")
+    rows = frame.sparkSession.read.parquet(f"{folder}/data").drop("batch")
+    others = [c for c in rows.columns if c not in keys and c != "epoch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("x")).select(*keys, "x.*")
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import math
 
+import numpy as np
+
 from loomgraph.functions.terms import decoded
-from loomgraph.operators import graph, ranks, relations, retrieval, texts
+from loomgraph.operators import graph, labels, ontology, ranks, relations, retrieval, satellites, texts
 from loomgraph.sources import terms
 from pyspark.sql import functions as F
 
@@ -63,11 +65,23 @@ def test_replaced_edges_keep_the_reverse(spark):
 
 def test_pagerank_sums_to_one_and_distances(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0)], "src string, dst string, weight double")
-    r = {x["uri"]: x["rank"] for x in ranks.pagerank(e, 30).collect()}
-    assert math.isclose(sum(r.values()), 1, rel_tol=1e-9) and r["c"] > r["a"]
+    r = {x["uri"]: x["rank"] for x in ranks.pagerank(e).collect()}
+    # the limit by solving the equations
+    step = np.array([[0, 1 / 3, 1 / 3], [1, 0, 1 / 3], [0, 2 / 3, 1 / 3]])
+    limit = np.linalg.solve(np.eye(3) - 0.85 * step, np.full(3, 0.15 / 3))
+    assert math.isclose(sum(r.values()), 1, rel_tol=1e-9) and np.abs(limit - [r["a"], r["b"], r["c"]]).sum() < 1e-5
+    both = {x["uri"]: x["rank"] for x in ranks.pagerank(e, seeds=e.select(F.col("src").alias("uri")).limit(1), undirected=True).collect()}
+    first = e.select("src").limit(1).first()["src"]
+    step = np.array([[0, 0.5, 0], [1, 0, 1], [0, 0.5, 0]])
+    limit = np.linalg.solve(np.eye(3) - 0.85 * step, 0.15 * np.array([first == x for x in "abc"], float))
+    assert np.abs(limit - [both[x] for x in "abc"]).sum() < 1e-5
+    many = {(x["query_id"], x["uri"]): x["rank"] for x in ranks.pushed(e, spark.createDataFrame([(1, first), (2, "c"), (2, "?")], "query_id int, uri string"), rounds=60, least=0.0).collect()}
+    assert np.abs(limit - [many[1, x] for x in "abc"]).sum() < 1e-3 and {q for q, _ in many} == {1, 2}
     far = ranks.distances(e, spark.createDataFrame([("a",)], "uri string"), 3).collect()
     assert {x["uri"]: x["distance"] for x in far} == {"a": 0, "b": 1, "c": 2}
-    assert ranks.pagerank(e.limit(0), 2).count() == 0
+    near = ranks.distances(e, spark.createDataFrame([("a",)], "uri string"), 1, spark.createDataFrame([("b",), ("c",)], "uri string")).collect()
+    assert {x["uri"]: x["distance"] for x in near} == {"b": 1, "c": -1}
+    assert ranks.pagerank(e.limit(0)).count() == 0
 
 
 def test_fusion_cap_and_normalisation_by_hand(spark):
@@ -91,28 +105,136 @@ def test_all_allowed_documents_are_ranked(spark):
 
 def test_selection_prefers_other_labels_and_directions(spark):
     rows = [(1, 1, 1.0, 0.0, "x", 0.0, [1.0, 0.0]), (1, 2, 0.95, 0.0, "y", 0.0, [1.0, 0.01]), (1, 3, 0.8, 0.0, "z", 0.0, [0.0, 1.0]), (1, 4, 0.1, 0.0, "q", 0.0, [0.0, 1.0])]
-    c = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, norm double, link double, label string, modifier double, vec array<double>")
+    c = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, norm double, link double, label string, modifier double, vec array<double>").withColumn("bonus", F.lit(0.0)).withColumn("degree", F.lit(1))
     assert [r["doc_id"] for r in retrieval.selected(c, 3).orderBy("turn").collect()] == [1, 3, 2]
-
-
-def test_chaining_and_documents(spark):
-    docs = spark.createDataFrame([("a", "x" * 500), ("b", "thin"), ("c", "alone")], "uri string, doc string")
-    e = spark.createDataFrame([("b", "a"), ("b", "a")], "src string, dst string")
-    got = {r["uri"]: r["doc"] for r in texts.chained(docs, e).collect()}
-    assert got == {"a": "x" * 500 + "\n\nthin", "c": "alone"}
+    hub = c.withColumn("degree", F.when(F.col("doc_id") == 3, 5000).otherwise(1))
+    assert [r["doc_id"] for r in retrieval.selected(hub, 3).orderBy("turn").collect()] == [1, 2, 3]
+    near = c.withColumn("bonus", F.when(F.col("doc_id") == 4, 0.9).otherwise(0.0))
+    assert [r["doc_id"] for r in retrieval.selected(near, 2).orderBy("turn").collect()] == [1, 4]
+
+
+def test_modifiers_seeds_lists_and_batches(spark):
+    t = spark.createDataFrame([("Person", []), ("?", ["http://x/E34_Inscription"]), ("?", ["?"]), (None, None)], "doc_type string, all_types array<string>")
+    got = t.select(retrieval.type_modifier(F.col("doc_type"), F.col("all_types")).alias("m"), retrieval.non_informative(F.col("doc_type"), F.col("all_types")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(0.05, False), (-0.4, True), (0.0, False), (0.0, False)]
+    seeds = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "c", 2)], "query_id int, uri string, rank int")
+    deg = spark.createDataFrame([("a", 900), ("c", 700)], "uri string, degree int")
+    assert {tuple(r) for r in retrieval.seeds_without_hubs(seeds, deg).collect()} == {(1, "b"), (2, "a")}
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, doc_id string, rank int")
+    b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, doc_id string, rank int")
+    assert [r["doc_id"] for r in retrieval.interleaved(a, b, 3).orderBy("rank").collect()] == ["x", "y", "z"]
+    assert [tuple(r) for r in retrieval.excluded(a, b).select("doc_id", "rank").collect()] == [("x", 1)]
+    sized = spark.createDataFrame([(i, 10 + i) for i in range(100)] + [(100 + i, 20000) for i in range(9)], "id int, n int")
+    got = {}
+    for r in retrieval.batches(sized).collect():
+        got.setdefault(r["batch"], set()).add(r["id"])
+    assert sorted(map(len, got.values())) == [1, 4, 4, 36, 64] and set(range(64)) in got.values()
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 11)
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(60, 4)), 1)
+    x[5] = x[6] = x[7]
+    rows = [(f"d{i:02d}", [float(y) for y in x[i]], i % 2) for i in range(60)]
+    v = spark.createDataFrame([*rows, ("short", [1.0], 0), ("none", None, 0), ("gap", [1.0, None, 1.0, 1.0], 0)], "doc_id string, vec array<double>, part int")
+    q = v.where("doc_id < 'd20'").withColumnRenamed("doc_id", "query_id")
+    for within in (None, "part"):
+        got = {(r["query_id"], r["rank"]): r["doc_id"] for r in retrieval.nearest(v, q, 3, "l2", within).collect()}
+        for i in range(20):
+            d = np.round(((x - x[i]) ** 2).sum(1), 9)
+            near = [j for j in np.lexsort((np.arange(60), d)) if within is None or j % 2 == i % 2][:3]
+            assert [got[f"d{i:02d}", r] for r in (1, 2, 3)] == [f"d{j:02d}" for j in near]
+
+
+def test_chaining(spark):
+    docs = spark.createDataFrame([("a", "x" * 500), ("b", "thin"), ("c", "alone"), ("d", "[Event] thin")], "uri string, doc string")
+    e = spark.createDataFrame([("b", "a"), ("b", "a"), ("d", "a"), ("b", "d")], "src string, dst string")
+    about = spark.createDataFrame([(x, x.upper(), "") for x in "abcd"], "uri string, label string, type string")
+    got = {r["uri"]: r["doc"] for r in texts.chained(docs, e, about).collect()}
+    section = "\n\nRelated entity — B (Entity):\nthin"
+    assert got == {"a": "x" * 500 + section, "c": "alone", "d": "[Event] thin" + section}
+
+
+def test_lines_of_relations_by_hand(spark):
+    v = spark.createDataFrame([("u", "U", ""), ("a", "Anna", "Person"), ("b", "Anna", "Person"), ("c", "12", ""), ("d", "1934", ""), ("x/e", "Same", ""), ("x/f", "Same", "")], "uri string, label string, doc_type string")
+    links = [("u", 1, "by", "a"), ("u", 1, "by", "b"), ("u", 2, "num", "c"), ("u", 3, "when", "d"), ("u", 4, "near", "x/e"), ("u", 4, "near", "x/f")]
+    shown = texts.shown_targets(spark.createDataFrame(links, "uri string, place int, label string, other string"), v)
+    told = texts.enrichments(spark.createDataFrame([("a", "c", "p7_took_place_at")], "src string, dst string, p_key string"), v)
+    dates = spark.createDataFrame([("d", "from 1934")], "uri string, date string")
+    got = sorted(r["line"] for r in texts.relation_lines(shown, told, dates).collect())
+    assert got == ["By: Anna (Person, 12), Anna (Person)", "Near: Same [e], Same [f]", "When: from 1934"]
+    many = spark.createDataFrame([("u", 1, "by", f"n{i}") for i in range(30)] + [("u", 2, "of", f"n{i}") for i in range(29)], "uri string, place int, label string, other string")
+    assert {r["place"] for r in texts.without_overlaps(texts.shown_targets(many, v)).collect()} == {1}
+
+
+def test_satellites_and_preferred_labels(spark):
+    types = spark.createDataFrame([("n", "http://x/E41_Appellation"), ("t", "http://x#e52_time-span"), ("t", "http://x/E41_Appellation"), ("w", "http://x/E22_Human-Made_Object")], "uri string, type_uri string")
+    kinds = satellites.kinds(types)
+    assert {(r["uri"], r["kind"]) for r in kinds.collect()} == {("n", "appellation"), ("t", "appellation")}
+    e = spark.createDataFrame([("n", "t", "rdf"), ("w", "t", "fr"), ("y", "t", "rdf"), ("w", "n", "rdf")], "src string, dst string, edge_type string")
+    assert {(r["uri"], r["parent"]) for r in satellites.parents(kinds, e).collect()} == {("t", "y"), ("n", "w")}
+    v = spark.createDataFrame([("w", "given"), ("n", "Name"), ("z", "z label")], "uri string, label string")
+    lit = spark.createDataFrame([("w", "label", ["b", "c"]), ("n", "p190_has_symbolic_content", ["content"]), ("z", "title", ["T"])], "uri string, prop string, vals array<string>")
+    p1 = spark.createDataFrame([("w", "n", "p1_is_identified_by")], "src string, dst string, p_key string")
+    assert {(r["uri"], r["label"]) for r in labels.preferred(v, lit, p1).collect()} == {("w", "content"), ("n", "content"), ("z", "T")}
+    spans = spark.createDataFrame([("t", "1 to 2")], "uri string, span string")
+    told = texts.absorbed_lines(spark.createDataFrame([("n", "appellation", "w"), ("t", "time", "w")], "uri string, kind string, parent string"), v.unionByName(spark.createDataFrame([("t", "span")], v.schema)), spans)
+    assert [r["absorbed"] for r in told.collect()] == [["Also known as: Name", "Time-span: 1 to 2"]]
+
+
+def test_layers_and_walks(spark):
+    assert relations.layers("{|a}/{b/{c|d}|e}") == ["b/c", "b/d", "e", "a/b/c", "a/b/d", "a/e"]
+    assert sum(len(r.paths) for r in relations.ENABLED) == 2321
+    one = (relations.Relation("x", "x", "Thing", "Place", ("P62/P89i*", "P62", "P62/P53/P89i*", "P46*/P62/P89i*", "P62/P46*/P89i*")),)
+    kept = ["/".join(p + "*" * many for p, many in walk) for _, walk in relations.walks(one, {"P62", "P46", "P89i"})]
+    assert kept == ["P46*/P62/P89i*", "P62/P46*/P89i*"]  # P53 doesn't occur, and the last path has all of the first
+
+
+def test_satellites_are_no_origins_and_rights_no_objects(spark):
+    r = (relations.Relation("thing_thing_f", "f", "Thing", "Thing", ("P130*/P46*",)),)
+    kinds = fcs(spark, [(x, "Thing") for x in "abcd"])
+    e = frame(spark, [("a", "p130_shows_features_of", "b"), ("c", "p130_shows_features_of", "a"), ("a", "p130_shows_features_of", "d")])
+    out = spark.createDataFrame([(U + "c",)], "uri string")
+    barred = spark.createDataFrame([(U + "d",)], "uri string")
+    assert found(relations.shortcuts(e, kinds, r, left_out=out, no_objects=barred)) == [("a", "thing_thing_f", "b")]
 
 
 def test_tsv_and_ntriples_round_trip(spark, tmp_path):
-    rows = [("http://a", "http://p", "http://b"), ("http://a", "http://p", "text")]
+    rows = [("http://a", "http://p", "http://b"), ("http://a", "http://p", "text"), ("_:x", "http://p", 'a "b"\\\t c\nd'), ("http://a", "http://p", "é😀")]
     t = spark.createDataFrame(rows, "subject string, predicate string, object string")
     terms.write_tsv(t, f"{tmp_path}/t")
     assert sorted(map(tuple, terms.read_tsv(spark, f"{tmp_path}/t", t.columns).collect())) == sorted(rows)
-    (tmp_path / "x.nt").write_text('<http://a> <http://p> <http://b> .\n# no statement\n<http://a> <http://p> "text"@en .\n')
-    assert sorted(map(tuple, terms.read_ntriples(spark, f"{tmp_path}/x.nt").collect())) == sorted(rows)
+    (tmp_path / "x.nt").write_text('<http://a> <http://p> <http://b> .\n# no statement\n\nbroken line\n<http://a> <http://p> "text"@en .\n_:x <http://p> "a \\\\"b\\\\"\\\\\\\\\\\\t c\\\\nd" .\n<http://a> <http://p> "\\\\u00e9\\\\U0001F600" .\n'.replace("\\\\", "\\"))
+    got = terms.read_ntriples(spark, f"{tmp_path}/x.nt").collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(rows) and {r["lang"] for r in got} == {"", "en"}
+    assert [r["value"] for r in terms.malformed(spark, f"{tmp_path}/x.nt").collect()] == ["broken line"]
+    terms.write_ntriples(t, f"{tmp_path}/n")
+    assert sorted(tuple(r)[:3] for r in terms.read_ntriples(spark, f"{tmp_path}/n").collect()) == sorted(rows)
+
+
+def test_ontology_tables(spark):
+    R, O, S = "http://w3/rdf-schema#", "http://w3/owl#", "http://crm/"
+    st = [
+        (S + "P1_is_named_by", R + "type", R + "Property", ""), (S + "P1_is_named_by", R + "label", "heißt", "de"), (S + "P1_is_named_by", R + "label", "is named by", "en"), (S + "P2_has_kind", R + "type", O + "ObjectProperty", ""),
+        (S + "P1_is_named_by", O + "inverseOf", S + "P1i_names", ""), (S + "P2_has_kind", R + "subPropertyOf", S + "P1_is_named_by", ""), (S + "E2", R + "subClassOf", S + "E1", ""), (S + "E3", R + "subClassOf", S + "E2", ""),
+        (S + "E3", R + "subClassOf", "_:b", ""), (S + "P1_is_named_by", R + "domain", S + "E1", ""), (S + "P1_is_named_by", R + "range", S + "E2", ""), (S + "E3", R + "type", O + "Class", ""),
+    ]
+    st = spark.createDataFrame(st, "subject string, predicate string, object string, lang string")
+    rows = lambda f: {tuple(x.removeprefix(S) if isinstance(x, str) else x for x in r) for r in f.collect()}
+    assert rows(ontology.property_labels(st)) == {("P1_is_named_by", "is named by"), ("P2_has_kind", "has kind")} and rows(ontology.classes(st)) == {("E3", "E3")}
+    assert rows(ontology.inverses(st)) == {("P1_is_named_by", "P1i_names"), ("P1i_names", "P1_is_named_by")}
+    links = ontology.taxonomy(st)
+    assert rows(links) == {("property", "P2_has_kind", "P1_is_named_by"), ("class", "E2", "E1"), ("class", "E3", "E2")}
+    assert rows(ontology.domains_and_ranges(st)) == {("P1_is_named_by", "E1", "E2")}
+    up = links.where("kind = 'class'").unionByName(spark.createDataFrame([("class", "X", "Y"), ("class", "Y", "X")], links.schema))
+    assert rows(ontology.class_categories(up, spark.createDataFrame([("E1", "Thing"), ("E2", "Place")], "class string, fc string"))) == {("E1", "Thing"), ("E2", "Place"), ("E3", "Place")}
+    assert rows(ontology.below(up, spark.createDataFrame([("E1",)], "name string"))) == {("E1",), ("E2",), ("E3",)}
 
 
 def test_time_spans_and_categories(spark):
-    rows = [("1", "2", None, "1 to 2"), ("1", None, None, "from 1"), (None, "2", None, "until 2"), (None, None, "3", "within 3"), (None, None, None, "")]
+    rows = [("1", "2", None, "1 to 2"), ("1", None, None, "from 1"), (None, "2", None, "until 2"), (None, None, "3", "3"), (None, None, None, "")]
     got = spark.createDataFrame(rows, "a string, b string, c string, x string").select(graph.time_span_text(F.col("a"), F.col("b"), F.col("c")).alias("t"), "x").collect()
     assert all(r["t"] == r["x"] for r in got)
     types = spark.createDataFrame([("u:1", "http://x/E22_Thing"), ("u:1", "http://x#E21_Person")], "uri string, type_uri string")

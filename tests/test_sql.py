@@ -1,4 +1,4 @@
-"""Every core query with SQL gives the rows of that SQL on the smallest input; runs only where the input is."""
+"""Every core query with SQL gives the rows of that SQL on the smallest input; runs only where the input is. TEST_SQL=name,name runs only these."""
 
 import datetime
 import os
@@ -8,12 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from loomgraph.plans import graph, problems, retrieval
+from loomgraph.plans import exports, graph, hybrid, problems, retrieval
 
 FOLDER = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
-#: queries that repeat the long work of others here; TEST_ALL=1 runs them too
-LONG = {"p1_paths", "p1_descendants", "uncovered_edges", "shortcut_targets", "shortcut_overlaps", "shortcut_summaries", "pagerank_per_fc", "pagerank_top", "entity_markdown", "contracted_edges"}
-SQL = {n: (m.QUERIES[n], m.ORACLES[n]) for m in (problems, graph, retrieval) for n in m.ORACLES if n not in LONG or os.environ.get("TEST_ALL")}
+SQL = {n: (m.QUERIES[n], m.ORACLES[n]) for m in (exports, graph, hybrid, problems, retrieval) for n in m.ORACLES if n in os.environ.get('TEST_SQL', n).split(',')}
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no input tables")
 
 

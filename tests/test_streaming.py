@@ -14,5 +14,5 @@ def test_statements_once_and_windows(spark, tmp_path):
     events = [(1, day, "x", 1.0), (2, day + dt.timedelta(hours=2), "x", 2.0), (3, day + dt.timedelta(days=1), "y", 4.0)]
     spark.createDataFrame(events, "event_id bigint, ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/e/events.parquet")
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/e/events.parquet").schema).parquet(f"{tmp_path}/e/events.parquet")
-    found = ingest.run_once(ingest.windowed(stream), f"{tmp_path}/out").collect()
+    found = ingest.run_once(ingest.windowed(stream), f"{tmp_path}/out", ["window_start", "event_type"]).collect()
     assert sorted((r["event_type"], r["n"], r["value"]) for r in found) == [("x", 2, 3.0), ("y", 1, 4.0)]
