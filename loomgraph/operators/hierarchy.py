@@ -36,7 +36,7 @@ def links(triples: DataFrame, props: DataFrame) -> DataFrame:
     """
     from ..functions.terms import decoded, local_key, named
 
-    p = F.broadcast(props.select("hierarchy", F.lower("predicate_local").alias("_p"), "child_end").distinct())
+    p = props.select("hierarchy", F.lower("predicate_local").alias("_p"), "child_end").distinct()
     s, o = decoded(F.col("subject")), decoded(F.col("object"))
     t = triples.select(s.alias("_s"), local_key(F.col("predicate")).alias("_p"), o.alias("_o")).where(named(F.col("_s")) & named(F.col("_o")))
     up = F.col("child_end") == "subject"
