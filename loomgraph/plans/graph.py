@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import local_name
 from ..operators import graph, labels, ranks, relations, satellites, texts
 from ..session import Cut, shared_folder, table
 from ..streaming import ingest
@@ -239,7 +238,8 @@ def relations_kept(spark, d):
 
 def _documents(spark, d):
     s = store(spark, d)
-    if "documents" not in s.__dict__:
+
+    def make():
         plain, spans = _plain(spark, d), graph.time_spans(s.literals)
         told, dates = Cut(texts.enrichments(plain, s.vertices)), Cut(graph.dates(spans, s.edges))
         derived = texts.without_overlaps(Cut(texts.shown_targets(_relation_links(spark, d), s.vertices)).df)
@@ -247,9 +247,9 @@ def _documents(spark, d):
         lines = texts.relation_lines(derived, told.df, dates.df).withColumn("direct", F.lit(False))
         lines = lines.unionByName(texts.relation_lines(direct, told.df, dates.df).withColumn("direct", F.lit(True)))
         absorbed = texts.absorbed_lines(satellites.parents(s.satellites, s.all_edges), s.vertices, spans)
-        minimal = labels.types_shown(s.types, s.satellites)
-        s.documents = Cut(texts.documents(s.vertices, s.literals, Cut(lines).df, absorbed, texts.referred(plain, s.vertices), minimal)).keep().df
-    return s.documents
+        return texts.documents(s.vertices, s.literals, Cut(lines).df, absorbed, texts.referred(plain, s.vertices), labels.types_shown(s.types, s.satellites))
+
+    return s.kept("documents", make)
 
 
 def entity_documents(spark, d):

@@ -16,7 +16,7 @@ from ..session import Cut, table
 from .exports import documents_by_category
 from .graph import _FR, _SPANS, _pagerank_sql
 from .problems import _sql_term
-from .store import Store, store
+from .store import store
 
 POOL, SEEDS, DIMS = 60, 5, 128
 ROUNDS, LEAST = 4, 1e-3
@@ -24,13 +24,6 @@ ROUNDS, LEAST = 4, 1e-3
 _NAMED = r"[A-Z][a-zà-ÿ]+(?:\s+[A-Z][a-zà-ÿ]+)*"
 
 
-def _kept(s: Store, name: str, make):
-    """What several queries on an input read is written once."""
-    if name not in s.__dict__:
-        s.__dict__[name] = Cut(make()).keep().df
-    return s.__dict__[name]
-
-
 def _corpus(spark, d) -> DataFrame:
     """(uri, label, doc_type, all_types, vec): one row per document with a usable vector, the smallest of its rows."""
 
@@ -39,7 +32,7 @@ def _corpus(spark, d) -> DataFrame:
         g = g.where(named(F.col("uri")) & (F.size("vec") == DIMS) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0))
         return g.groupBy("uri").agg(F.min(F.struct("vec", "label", "doc_type", "all_types")).alias("x")).select("uri", "x.*")
 
-    return _kept(store(spark, d), "corpus", make)
+    return store(spark, d).kept("corpus", make)
 
 
 def _asked(spark, d) -> DataFrame:
@@ -49,7 +42,7 @@ def _asked(spark, d) -> DataFrame:
         q = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), decoded(F.col("entity_uri")).alias("uri"), "text")
         return q.join(_corpus(spark, d).select("uri", "vec"), "uri").select("query_id", "uri", "text", "vec")
 
-    return _kept(store(spark, d), "asked", make)
+    return store(spark, d).kept("asked", make)
 
 
 def _categories(spark, d) -> DataFrame:
@@ -63,7 +56,7 @@ def _question_fc(spark, d) -> DataFrame:
 
 def _dense(spark, d) -> DataFrame:
     make = lambda: retrieval.nearest(_corpus(spark, d).select(F.col("uri").alias("doc_id"), "vec"), _asked(spark, d).select("query_id", "vec"), POOL)
-    return _kept(store(spark, d), "dense", make)
+    return store(spark, d).kept("dense", make)
 
 
 def _by_entity(found: DataFrame, entities: DataFrame, k: int) -> DataFrame:
@@ -80,7 +73,7 @@ def _texts(spark, d) -> DataFrame:
 def _words(spark, d) -> DataFrame:
     """The best 5 POOL documents by words, which the typed lists are filtered from."""
     make = lambda: retrieval.bm25(_texts(spark, d).select("doc_id", "text"), _asked(spark, d).select("query_id", "text"), 5 * POOL).select("query_id", "doc_id", "rank")
-    return _kept(store(spark, d), "words", make)
+    return store(spark, d).kept("words", make)
 
 
 def _sparse(spark, d) -> DataFrame:
@@ -110,7 +103,7 @@ def _along(spark, d) -> DataFrame:
         pushed = ranks.pushed(store(spark, d).all_edges, seeds, ROUNDS, least=LEAST).join(seeds, ["query_id", "uri"], "left_anti").join(_corpus(spark, d).select("uri"), "uri", "left_semi")
         return retrieval.top(pushed.select("query_id", F.col("uri").alias("doc_id"), F.col("rank").alias("score")), POOL, 12)
 
-    return _kept(store(spark, d), "along", make)
+    return store(spark, d).kept("along", make)
 
 
 def _fused(spark, d) -> DataFrame:
@@ -120,7 +113,7 @@ def _fused(spark, d) -> DataFrame:
         own = _asked(spark, d).select("query_id", F.col("uri").alias("doc_id"))
         return retrieval.fused([retrieval.excluded(_dense(spark, d), own), retrieval.excluded(_sparse(spark, d), own), _along(spark, d)], POOL)
 
-    return _kept(store(spark, d), "fused", make)
+    return store(spark, d).kept("fused", make)
 
 
 def _typed(spark, d, central: bool) -> DataFrame:
@@ -148,7 +141,7 @@ def _pool(spark, d) -> DataFrame:
         c = merged.join(_corpus(spark, d).withColumnRenamed("uri", "doc_id"), "doc_id").withColumn("dull", retrieval.non_informative(F.col("doc_type"), F.col("all_types")))
         return retrieval.normalised(retrieval.capped(c, "dull"))
 
-    return _kept(store(spark, d), "pool", make)
+    return store(spark, d).kept("pool", make)
 
 
 def _features(spark, d) -> DataFrame:
@@ -168,11 +161,11 @@ def _features(spark, d) -> DataFrame:
         out = linked.join(bonus, ["query_id", "doc_id"], "left").join(degree, "doc_id", "left")
         return out.select("query_id", "doc_id", "rank", "norm", "link", "label", "doc_type", retrieval.type_modifier(F.col("doc_type"), F.col("all_types")).alias("modifier"), F.coalesce("bonus", F.lit(0.0)).alias("bonus"), F.coalesce("degree", F.lit(0)).alias("degree"), "vec")
 
-    return _kept(store(spark, d), "features", make)
+    return store(spark, d).kept("features", make)
 
 
 def _chosen(spark, d) -> DataFrame:
-    return _kept(store(spark, d), "chosen", lambda: retrieval.selected(_features(spark, d), 10))
+    return store(spark, d).kept("chosen", lambda: retrieval.selected(_features(spark, d), 10))
 
 
 def hybrid_dense(spark, d):

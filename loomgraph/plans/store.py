@@ -6,7 +6,7 @@ A table is built when a query first needs it, and is kept in the shared folder u
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,53 +21,61 @@ _STORES: dict[tuple[str, str], Store] = {}
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.tables: dict[str, Cut] = {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table `name`, written by the first call, and again if its files are gone."""
+        held = self.tables.get(name)
+        if held is None or not held.exists():
+            held = self.tables[name] = Cut(make()).keep()
+        return held.df
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
-    @cached_property
+    @property
     def statements(self) -> DataFrame:
-        """(s, p, p_key, o): the source of edges, literals and ends."""
-        return Cut(graph.statements(spread(self.table("triples").select("subject", "predicate", "object")))).keep().df
+        """(s, p_key, o, schema): the source of edges, literals and ends."""
+        return self.kept("statements", lambda: graph.statements(spread(self.table("triples").select("subject", "predicate", "object"))))
 
-    @cached_property
+    @property
     def edges(self) -> DataFrame:
-        return Cut(graph.edges_of(self.statements, self.table("property_labels"))).keep().df
+        return self.kept("edges", lambda: graph.edges_of(self.statements, self.table("property_labels")))
 
-    @cached_property
+    @property
     def literals(self) -> DataFrame:
-        return Cut(graph.literals_of(self.statements)).keep().df
+        return self.kept("literals", lambda: graph.literals_of(self.statements))
 
-    @cached_property
+    @property
     def types(self) -> DataFrame:
         """(uri, type_uri), decoded, each once."""
         t = self.table("entity_types").select(decoded(F.col("uri")).alias("uri"), decoded(F.col("type_uri")).alias("type_uri"))
-        return Cut(t.where("uri IS NOT NULL AND type_uri IS NOT NULL").distinct()).keep().df
+        return self.kept("types", lambda: t.where("uri IS NOT NULL AND type_uri IS NOT NULL").distinct())
 
-    @cached_property
+    @property
     def vertices(self) -> DataFrame:
-        ends = self.edges.select(F.explode(F.array("src", "dst")).alias("uri"))
-        return Cut(graph.vertices(self.table("vertices"), self.types, self.table("fc_classes"), ends)).keep().df
+        ends = lambda: self.edges.select(F.explode(F.array("src", "dst")).alias("uri"))
+        return self.kept("vertices", lambda: graph.vertices(self.table("vertices"), self.types, self.table("fc_classes"), ends()))
 
-    @cached_property
+    @property
     def satellites(self) -> DataFrame:
         """(uri, kind) of what is told in its parent's document."""
-        return Cut(satellites.kinds(self.types)).keep().df
+        return self.kept("satellites", lambda: satellites.kinds(self.types))
 
-    @cached_property
+    @property
     def shortcuts(self) -> DataFrame:
-        found = relations.shortcuts(self.edges, self.vertices, left_out=self.satellites, no_objects=satellites.rights_and_names(self.types))
-        return Cut(found).keep().df
+        make = lambda: relations.shortcuts(self.edges, self.vertices, left_out=self.satellites, no_objects=satellites.rights_and_names(self.types))
+        return self.kept("shortcuts", make)
 
-    @cached_property
+    @property
     def all_edges(self) -> DataFrame:
         """(src, dst, p_key, predicate_label, weight, edge_type): shortcuts (`fr`) and the plain edges (`rdf`) that none replaces."""
-        return Cut(relations.merged(self.edges, self.shortcuts)).keep().df
+        return self.kept("all_edges", lambda: relations.merged(self.edges, self.shortcuts))
 
-    @cached_property
+    @property
     def pagerank(self) -> DataFrame:
         """(uri, rank) over the shortcut edges, to the tolerance of `ranks`."""
-        return Cut(ranks.pagerank(self.shortcuts.withColumn("weight", F.lit(1.0)))).keep().df
+        return self.kept("pagerank", lambda: ranks.pagerank(self.shortcuts.withColumn("weight", F.lit(1.0))))
 
 
 def store(spark: SparkSession, folder: str) -> Store:

@@ -90,11 +90,20 @@ class Cut:
         self.kept = True
         return self
 
-    def drop(self) -> None:
-        Cut.live.pop(self.path, None)
+    def _files(self):
         spark = self.df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def exists(self) -> bool:
+        """False once the files are gone, such as when the owner of the folder cleared it."""
+        files, path = self._files()
+        return files.exists(path)
+
+    def drop(self) -> None:
+        Cut.live.pop(self.path, None)
+        files, path = self._files()
+        files.delete(path, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:
