@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,36 +18,143 @@ RRF = 60
 ALPHA, DIVERSITY, SIBLING = 0.7, 0.2, 0.3
 #: rows of a block of queries and of a block of vectors in the exact vector search; a task holds one of each
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
+#: the same for words; rows that a cell of them keeps at most, and pairs of query and document that are added at once
+ASKED_BLOCK, TEXT_BLOCK, KEPT_ROWS, PAIRS = 16384, 16384, 1 << 21, 1 << 20
+#: share of the documents from which on a word is frequent, and the most such words
+OFTEN, MOST_OFTEN = 0.1, 512
+_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def postings(documents: DataFrame) -> DataFrame:
     """(doc_id, term, tf): lower-cased words of two letters, digits or underscores or more; null texts have none."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
     return documents.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, over_fetch: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k documents of highest BM25 score, above 0, for each query (query_id, text).
 
-    Every different word of a query counts once. Words of queries are joined with the postings of all documents; only postings of words
-    that some query has are shuffled further, and scores are pre-aggregated. With `allowed` (doc_id), only those
+    Every different word of a query counts once. Queries and documents are cut into blocks; every pair of blocks is a cell that is searched in one task, and at most k rows
+    per query leave it, so no scored pair is shuffled. Documents travel as text, once per block of queries. With `allowed` (doc_id), only those
     documents are ranked; by the reference's rule, with `over_fetch`, only the best over_fetch * k of all documents are searched for them. Equal scores go to the smaller doc_id.
     """
-    index = Cut(postings(documents))
-    lengths = index.df.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    n, avg = lengths.agg(F.count("*"), F.avg("dl")).first()
-    asked = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), "term")
-    df = index.df.groupBy("term").agg(F.count("*").alias("df"))
-    terms = asked.join(df, "term")
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    dl = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg or 1)))
-    hits = index.df.join(terms, "term").join(lengths, "doc_id")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(idf * F.col("tf") / dl).alias("score")).where("score > 0")
-    if allowed is None:
-        return top(scores, k)
-    if over_fetch is not None:
-        scores = top(scores, over_fetch * k).select("query_id", "doc_id", "score")
-    return top(scores.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    # the words of a document with blanks between them, found once
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), " ")
+    docs = Cut(documents.select("doc_id", words.alias("words"))).df.where("words <> ''")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("words"), " ").alias("words"))  # rows of one id are one document
+    n, total = docs.agg(F.count("*"), F.sum(F.size(F.split("words", " ")))).first()
+    avg = total / n if n else 1.0
+    df = Cut(docs.select(F.explode(F.array_distinct(F.split("words", " "))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    asked = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), "term").join(df.df, "term")
+    asked = Cut(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
+    df.drop()
+    fetched = k if allowed is None or over_fetch is None else over_fetch * k
+    qs, vs = max(1, -(-asked.df.count() // max(1, min(ASKED_BLOCK, KEPT_ROWS // fetched)))), max(1, -(-n // max(TEXT_BLOCK, 128 * fetched)))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.df.select("query_id", "terms", "dfs", block("query_id", qs).alias("qb"), every(vs).alias("vb"))
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "words")
+    some = allowed is not None and over_fetch is None
+    if some:  # rows without words name the documents that are allowed
+        rows = rows.unionByName(allowed.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("words", F.lit(None).cast("string")))
+    right = rows.select("doc_id", "words", every(qs).alias("qb"), block("doc_id", vs).alias("vb"))
+    types = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (documents, "doc_id"))}
+    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_scored(fetched, n, avg, some), f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double")
+    # a query has at most `fetched` rows of each block
+    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fetched)
+    if allowed is None or some:
+        return best
+    return top(best.drop("rank").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+
+
+def _scored(k: int, n: int, avg: float, some: bool):
+    """Scores of a block of queries and a block of documents: frequent words by a product of matrices, others by their pairs of query and document; a few documents at a time."""
+
+    def run(queries: pa.Table, documents: pa.Table) -> pa.Table:
+        documents = documents.sort_by("doc_id")
+        texts = documents.filter(pc.is_valid(documents["words"]))
+        if some:
+            texts = texts.filter(pc.is_in(texts["doc_id"], value_set=documents.filter(pc.is_null(documents["words"]))["doc_id"]))
+        names = ["query_id", "doc_id", "score"]
+        if not queries.num_rows or not texts.num_rows:
+            return pa.table([queries["query_id"].slice(0, 0), documents["doc_id"].slice(0, 0), pa.array([], pa.float64())], names=names)
+        terms, freq = queries["terms"].combine_chunks(), queries["dfs"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        coded = terms.flatten().dictionary_encode()
+        vocabulary, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        nq, nv = queries.num_rows, len(vocabulary)
+        df = np.zeros(nv)
+        df[code] = freq
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        asker = np.repeat(np.arange(nq), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        # words of so many documents that a product of matrices is cheaper; which words these are changes the work only
+        often = np.argsort(-df, kind="stable")[:MOST_OFTEN]
+        often = often[df[often] > OFTEN * n]
+        column = np.full(nv, -1)
+        column[often] = np.arange(len(often))
+        dense = np.zeros((len(often), nq))
+        held = column[code] >= 0
+        dense[column[code[held]], asker[held]] = idf[code[held]]
+        # queries by word, of the other words
+        seldom, seldom_asker = code[~held], asker[~held].astype(np.int32)
+        by = np.argsort(seldom, kind="stable")
+        askers, number = seldom_asker[by], np.bincount(seldom, minlength=nv)
+        first = np.cumsum(number) - number
+
+        least, found = np.zeros(nq), []
+
+        def pruned():
+            q, d, s = (np.concatenate(x) for x in zip(*found))
+            near = np.round(s, 9)
+            order = np.lexsort((d, -near, q))
+            q, d, s, near = q[order], d[order], s[order], near[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            least[q[place == k - 1]] = near[place == k - 1]
+            found[:] = [tuple(x[place < k] for x in (q, d, s))]
+
+        step, held_rows = int(min(4096, max(16, (1 << 19) // nq))), 0
+        for start in range(0, texts.num_rows, 2048):
+            split = pc.split_pattern(texts["words"].slice(start, 2048).combine_chunks(), " ")
+            dl = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+            at = pc.index_in(split.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+            key = (np.repeat(np.arange(len(dl)), dl) * nv + at)[at >= 0]
+            key, tf = np.unique(key, return_counts=True)
+            doc, term = key // nv, key % nv
+            weight = tf / (tf + K1 * (1 - B + B * dl[doc] / avg))
+            for low in range(0, len(dl), step):
+                a, b = np.searchsorted(doc, (low, low + step))
+                d, t, w = doc[a:b] - low, term[a:b], weight[a:b]
+                rows = min(step, len(dl) - low)
+                c = column[t]
+                x = np.zeros((rows, len(often)))
+                x[d[c >= 0], c[c >= 0]] = w[c >= 0]
+                score = x @ dense
+                rest = (c < 0) & (number[t] > 0)
+                d, t, w = d[rest], t[rest], w[rest] * idf[t[rest]]
+                times = number[t]
+                # in parts, so that many askers of one word take no more memory
+                cuts = np.searchsorted(np.cumsum(times), np.arange(PAIRS, times.sum() + PAIRS, PAIRS), side="right") if len(times) else []
+                i = 0
+                for j in cuts:
+                    j = min(max(j, i + 1), len(times))
+                    if i >= j:
+                        continue
+                    m = times[i:j]
+                    place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - first[t[i:j]], m)
+                    score += np.bincount(np.repeat(d[i:j] * nq, m) + askers[place], weights=np.repeat(w[i:j], m), minlength=rows * nq).reshape(rows, nq)
+                    i = j
+                di, qi = np.nonzero((score > 0) & (score >= least - 1e-9))
+                found.append((qi.astype(np.int32), (di + (start + low)).astype(np.int32), score[di, qi]))
+                held_rows += len(qi)
+                if held_rows > max(1 << 19, 3 * nq * k // 2):
+                    pruned()
+                    held_rows = len(found[0][0])
+        pruned()
+        q, d, s = found[0]
+        return pa.table([queries["query_id"].take(pa.array(q)), texts["doc_id"].take(pa.array(d)), pa.array(s)], names=names)
+
+    return run
 
 
 def top(scores: DataFrame, k: int, places: int = 9) -> DataFrame:

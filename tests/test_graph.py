@@ -103,6 +103,42 @@ def test_all_allowed_documents_are_ranked(spark):
     assert retrieval.bm25(docs, asked, 1, allowed, over_fetch=5).count() == 0
 
 
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_words_that_all_documents_share_make_no_pairs_to_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 1000, raising=False)
+    monkeypatch.setattr(retrieval, "ASKED_BLOCK", 150, raising=False)
+    rng = np.random.default_rng(5)
+    texts = {i: ["all", "these", "too"] + [f"w{x}" for x in rng.zipf(1.3, 12) if x < 500] for i in range(4000)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(7, "twice ALL"), (None, "all")], "doc_id bigint, text string").cache()
+    texts[7] = texts[7] + ["twice", "all"]
+    asked = docs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    n, dl = 4001, {i: len(w) for i, w in texts.items()}
+    avg = (sum(dl.values()) + 1) / n
+    df = {}
+    for w in [*texts.values(), ["all"]]:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+
+    def best(q, k, allowed):
+        score = lambda d: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * texts[d].count(w) / (texts[d].count(w) + 1.5 * (0.25 + 0.75 * dl[d] / avg)) for w in set(texts[q]) & set(texts[d]))
+        return sorted((-round(score(d), 9), d) for d in texts if allowed(d))[:k]
+
+    docs.count()
+    before = shuffled(spark)
+    got = retrieval.bm25(docs, asked, 20).collect()
+    assert shuffled(spark) - before < 3e6  # 1.6 million pairs share a word
+    only = retrieval.bm25(docs, asked, 20, docs.where("doc_id % 3 = 0")).collect()
+    for rows, allowed in ((got, lambda d: True), (only, lambda d: d % 3 == 0)):
+        assert len(rows) == 400 * 20
+        for q in (0, 70, 3990):
+            assert [(-round(r["score"], 9), r["doc_id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] == best(q, 20, allowed)
+
+
 def test_selection_prefers_other_labels_and_directions(spark):
     rows = [(1, 1, 1.0, 0.0, "x", 0.0, [1.0, 0.0]), (1, 2, 0.95, 0.0, "y", 0.0, [1.0, 0.01]), (1, 3, 0.8, 0.0, "z", 0.0, [0.0, 1.0]), (1, 4, 0.1, 0.0, "q", 0.0, [0.0, 1.0])]
     c = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, norm double, link double, label string, modifier double, vec array<double>").withColumn("bonus", F.lit(0.0)).withColumn("degree", F.lit(1))
