@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import Cut
 from .retrieval import top
@@ -11,6 +14,8 @@ from .retrieval import top
 #: the iterations end when a round moves less than this in all
 TOLERANCE = 1e-6
 MOST_ROUNDS = 200
+#: edges of a block, about, when mass is pushed; edges of a vertex in a block from which on they are looked up last. Both change the work only.
+LINK_BLOCK, MANY_LINKS = 1_200_000, 256
 
 
 def _both_ways(edges: DataFrame, *columns: str) -> DataFrame:
@@ -76,34 +81,192 @@ def ranked_documents(ranks: DataFrame, documents: DataFrame, k: int, per_fc: int
     return found.orderBy(F.round("rank", 12).desc(), "uri").limit(k)
 
 
-def pushed(edges: DataFrame, seeds: DataFrame, rounds: int = 4, damping: float = 0.85, least: float = 1e-4) -> DataFrame:
+class Links:
+    """Undirected weighted edges in blocks by the vertex they lead to, for `pushed`; of use for many calls."""
+
+    def __init__(self, edges: DataFrame):
+        ends = Cut(edges.select(F.explode(F.array("src", "dst")).alias("uri")).distinct())
+        # numbers in the order of the URIs
+        self.ids = Cut(ends.df.orderBy("uri").select("uri", F.monotonically_increasing_id().alias("id")))
+        ends.drop()
+        number = lambda end: self.ids.df.select(F.col("uri").alias(end), F.col("id").alias(f"{end}_id"))
+        coded = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).join(number("src"), "src").join(number("dst"), "dst")
+        coded = Cut(coded.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "weight"))
+        both = _both_ways(coded.df, "weight")
+        self.blocks = max(1, -(-2 * coded.df.count() // LINK_BLOCK))
+        self.out = Cut(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out")))
+        rows = both.select(F.col("src").alias("u"), F.col("dst").alias("at"), "weight")
+        self.packed = Cut(rows.withColumn("block", self.block("at")).groupBy("block").applyInArrow(_packed, _PACKED))
+        coded.drop()
+
+    def block(self, at: str):
+        return F.pmod(F.xxhash64(at), F.lit(self.blocks)).cast("int")
+
+    def keep(self) -> Links:
+        for x in (self.ids, self.out, self.packed):
+            x.keep()
+        return self
+
+    def exists(self) -> bool:
+        return all(x.exists() for x in (self.ids, self.out, self.packed))
+
+    def drop(self) -> None:
+        for x in (self.ids, self.out, self.packed):
+            x.drop()
+
+
+def pushed(edges: DataFrame | Links, seeds: DataFrame, rounds: int = 4, damping: float = 0.85, least: float = 1e-4, wanted: DataFrame | None = None, among: DataFrame | None = None, k: int = 0) -> DataFrame:
     """(query_id, uri, rank): personalised PageRank of many queries at once, from the seeds (query_id, uri) of each, evenly.
 
     Mass is pushed along undirected weighted edges: a visit keeps 1 - damping of it and passes the rest on; what is less than `least` isn't
     passed on and stays, so a query reaches at most 1 / least vertices whatever the size of the graph. What is on its way after `rounds` stays where it is.
-    Mass of seeds that are no vertices is left out; seeds count once.
+    Mass of seeds that are no vertices is left out; seeds count once. With `wanted` (query_id, uri) only these rows are made; with `among` (uri) only the `k` best of them for
+    each query, its seeds left out; ranks equal to 12 decimals go to the smaller uri.
+
+    A task adds up what the queries send into a block of edges, and only what is passed on or asked for leaves it.
     """
-    links = Cut(_shares(edges, True)[0])
+    links = edges if isinstance(edges, Links) else Links(edges)
+    ids, blocks = links.ids.df, links.blocks
     each = seeds.select("query_id", "uri").distinct()
+    kind = seeds.schema["query_id"].dataType.simpleString()
+    large = (F.col("mass") >= least) & F.lit(rounds > 0)
+
+    def sent(mass: DataFrame) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        return mass.join(links.out.df, "id").select(every, "query_id", F.col("id").alias("at"), (damping * F.col("mass") / F.col("out")).alias("mass"), F.lit(_PUSH).alias("kind"))
+
+    def told(rows: DataFrame, what: int, mass=None) -> DataFrame:
+        mass = F.lit(None).cast("double") if mass is None else mass
+        return rows.select(links.block("id").alias("block"), "query_id", F.col("id").alias("at"), mass.alias("mass"), F.lit(what).alias("kind"))
+
+    def met(rows: DataFrame, how: str) -> DataFrame:
+        return links.packed.df.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_met(how, least, k, MANY_LINKS), f"query_id {kind}, id bigint, mass double")
+
     n = each.groupBy("query_id").agg(F.count("*").alias("n"))
-    moving = Cut(each.join(n, "query_id").select("query_id", "uri", (1.0 / F.col("n")).alias("mass")))
-    kept, cuts = [], [moving]
-    for _ in range(rounds):
-        large = F.col("mass") >= least
-        kept.append(moving.df.select("query_id", "uri", F.when(large, (1 - damping) * F.col("mass")).otherwise(F.col("mass")).alias("mass")))
-        sent = moving.df.where(large).join(links.df.withColumnRenamed("src", "uri"), "uri")
-        moving = Cut(sent.groupBy("query_id", F.col("dst").alias("uri")).agg(F.sum(damping * F.col("mass") * F.col("share")).alias("mass")))
-        cuts.append(moving)
-    kept.append(moving.df)
-    whole = kept[0]
-    for x in kept[1:]:
+    begun = Cut(each.join(n, "query_id").join(ids, "uri", "left").select("query_id", "uri", "id", (1.0 / F.col("n")).alias("mass")))
+    start = begun.df.where("id IS NOT NULL").select("query_id", "id", "mass")
+    moving, cuts = [start], [begun]
+    for _ in range(rounds - 1):
+        cuts.append(Cut(met(sent(moving[-1].where(large)), "passed")))
+        moving.append(cuts[-1].df)
+    whole = moving[0]
+    for x in moving[1:]:
         whole = whole.unionByName(x)
-    result = Cut(whole.groupBy("query_id", "uri").agg(F.sum("mass").alias("rank")))
-    for x in (links, *cuts):
+    # what a vertex got, less what it passed on in all
+    passed = Cut(whole.where(large).groupBy("query_id", "id").agg(F.sum("mass").alias("mass")))
+    cuts.append(passed)
+    rows = sent(passed.df).unionByName(told(passed.df, _BASE, -damping * F.col("mass")))
+    if among is not None:
+        rows = rows.unionByName(told(start, _BASE, F.lit(float("-inf"))))
+        rows = rows.unionByName(told(among.select("uri").distinct().join(ids, "uri").withColumn("query_id", F.lit(None).cast(kind)), _AMONG))
+        best = W.partitionBy("query_id").orderBy(F.round("mass", 12).desc(), "id")  # a query has at most k rows of each block
+        found = met(rows, "best").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).join(ids, "id").select("query_id", "uri", F.col("mass").alias("rank"))
+    else:
+        rows = rows.unionByName(told(start, _BASE, F.col("mass")))
+        alone = begun.df.where("id IS NULL").select("query_id", "uri", F.when(large, (1 - damping) * F.col("mass")).otherwise(F.col("mass")).alias("rank"))
+        if wanted is not None:
+            rows = rows.unionByName(told(wanted.select("query_id", "uri").distinct().join(ids, "uri"), _WANTED))
+            alone = alone.join(wanted.select("query_id", "uri"), ["query_id", "uri"], "left_semi")
+        found = met(rows, "all" if wanted is None else "wanted").join(ids, "id").select("query_id", "uri", F.col("mass").alias("rank")).unionByName(alone)
+    result = Cut(found)
+    for x in cuts if links is edges else (links, *cuts):
         x.drop()
     return result.df
 
 
+_PACKED = "block int, us binary, counts binary, at binary, place binary, weight binary"
+#: kinds of rows that meet a block: mass passed on from a vertex, what a vertex has before, a vertex whose rank is wanted, a vertex that may be among the best
+_PUSH, _BASE, _WANTED, _AMONG = range(4)
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    """The edges (u, at, weight) of a block in one row, each pair once and in the order of both ends: different u with their numbers of edges, different `at`, places among these, weights."""
+    ats, place = np.unique(t["at"].to_numpy(), return_inverse=True)
+    us, own = np.unique(t["u"].to_numpy(), return_inverse=True)
+    pairs, which = np.unique(own.astype(np.int64) * len(ats) + place, return_inverse=True)
+    weight = np.bincount(which, weights=t["weight"].to_numpy())
+    columns = (us, np.bincount(pairs // len(ats), minlength=len(us)).astype(np.int32), ats, (pairs % len(ats)).astype(np.int32), weight)
+    return pa.table([t["block"].slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _met(how: str, least: float, k: int, many_links: int):
+    """What the rows of each query add up to in a block: `passed` gives what is passed on again, `best` the k best, `wanted` what is asked for, `all` everything.
+
+    Vertices with many edges in the block give little to each. The most that some of them can give together is known beforehand, so they are looked up only for what could
+    reach `least` or the k best with it: nothing is left out.
+    """
+
+    def run(links: pa.Table, rows: pa.Table) -> pa.Table:
+        types = ("int64", "int32", "int64", "int32", "float64")
+        us, counts, ats, place, weight = (np.frombuffer(links[c][0].as_py() if links.num_rows else b"", t) for c, t in zip(links.column_names[1:], types))
+        kind, at, mass = (rows[c].to_numpy() for c in ("kind", "at", "mass"))
+        vertices = np.union1d(ats, at[(kind == _BASE) | (kind == _WANTED)])
+        place = np.searchsorted(vertices, ats)[place] if len(place) else place
+        barred = ~np.isin(vertices, at[kind == _AMONG]) if how == "best" else None
+        first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        most = np.maximum.reduceat(weight, first[:-1]) if len(us) else weight
+        coded = rows["query_id"].combine_chunks().dictionary_encode()
+        query = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        own = np.searchsorted(us, at)
+        known = (kind == _PUSH) & (us[np.minimum(own, max(0, len(us) - 1))] == at) if len(us) else np.zeros(len(at), bool)
+        use = np.flatnonzero((query >= 0) & ((kind != _PUSH) | known))
+        use = use[np.argsort(query[use], kind="stable")]
+        bounds = np.searchsorted(query[use], np.arange(len(coded.dictionary) + 1))
+        out_q, out_v, out_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for q in range(len(coded.dictionary)):
+            mine = use[bounds[q] : bounds[q + 1]]
+            if not len(mine):
+                continue
+            pushes = mine[kind[mine] == _PUSH]
+            p, m = own[pushes], mass[pushes]
+            got = np.zeros(len(vertices))
+            base = mine[kind[mine] == _BASE]
+            np.add.at(got, np.searchsorted(vertices, at[base]), mass[base])
+            if barred is not None:
+                got[barred] = -np.inf
+            many = counts[p] > many_links
+            few, n = p[~many], counts[p[~many]].astype(np.int64)
+            i = np.repeat(first[few] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            got += np.bincount(place[i], weights=np.repeat(m[~many], n) * weight[i], minlength=len(got))
+            # of those with many edges, the ones that give least come last
+            p, m = p[many], m[many]
+            by = np.argsort(m * most[p], kind="stable")
+            p, m = p[by], m[by]
+            together = np.cumsum(m * most[p])
+
+            def bound() -> float:
+                """What the k-th best has at least."""
+                above = got[got > 0]
+                return np.partition(above, len(above) - k)[len(above) - k] if len(above) >= k else 0.0
+
+            limit = {"passed": least, "best": bound() if how == "best" else 0.0, "wanted": np.inf, "all": 0.0}[how]
+            late = int(np.searchsorted(together, limit / 2, side="right")) if limit > 1e-10 else 0
+            for j in range(late, len(p)):
+                a, b = first[p[j]], first[p[j] + 1]
+                got[place[a:b]] += m[j] * weight[a:b]
+            rest = together[late - 1] if late else 0.0
+            if how == "wanted":
+                v = np.unique(np.searchsorted(vertices, at[mine[kind[mine] == _WANTED]]))
+            else:
+                floor = {"passed": least, "best": bound() if how == "best" else 0.0, "all": 0.0}[how] - rest - 1e-11
+                v = np.flatnonzero((got > 0) & (got >= floor))
+            for j in range(late if len(v) else 0):
+                a, b = first[p[j]], first[p[j] + 1]
+                x = np.minimum(np.searchsorted(place[a:b], v), b - a - 1)
+                hit = place[a + x] == v
+                got[v[hit]] += m[j] * weight[a + x[hit]]
+            v = v[got[v] >= least] if how == "passed" else v[got[v] > 0]
+            if how == "best":
+                v = v[np.lexsort((v, -np.round(got[v], 12)))[:k]]
+            out_q.append(np.full(len(v), q))
+            out_v.append(vertices[v])
+            out_m.append(got[v])
+        q, v, m = (np.concatenate(x) for x in (out_q, out_v, out_m))
+        return pa.table([coded.dictionary.take(pa.array(q)), pa.array(v), pa.array(m)], names=["query_id", "id", "mass"])
+
+    return run
+
+
 def distances(edges: DataFrame, sources: DataFrame, depth: int = 3, targets: DataFrame | None = None) -> DataFrame:
     """(uri, distance): fewest undirected steps from any of the sources (uri), up to `depth`; with targets (uri) for these only, -1 for those farther off."""
     both = _both_ways(edges)

@@ -100,7 +100,7 @@ def _along(spark, d) -> DataFrame:
 
     def make():
         seeds = Cut(_seeds(spark, d)).df
-        pushed = ranks.pushed(store(spark, d).all_edges, seeds, ROUNDS, least=LEAST).join(seeds, ["query_id", "uri"], "left_anti").join(_corpus(spark, d).select("uri"), "uri", "left_semi")
+        pushed = ranks.pushed(store(spark, d).links, seeds, ROUNDS, least=LEAST, among=_corpus(spark, d).select("uri"), k=POOL)
         return retrieval.top(pushed.select("query_id", F.col("uri").alias("doc_id"), F.col("rank").alias("score")), POOL, 12)
 
     return store(spark, d).kept("along", make)
@@ -150,7 +150,7 @@ def _features(spark, d) -> DataFrame:
     def make():
         s, pool = store(spark, d), _pool(spark, d)
         best = pool.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("r") <= SEEDS).select("query_id", F.col("doc_id").alias("uri"))
-        way = ranks.pushed(s.all_edges, best, ROUNDS, least=LEAST).withColumnRenamed("uri", "doc_id").withColumnRenamed("rank", "mass")
+        way = ranks.pushed(s.links, best, ROUNDS, least=LEAST, wanted=pool.select("query_id", F.col("doc_id").alias("uri"))).withColumnRenamed("uri", "doc_id").withColumnRenamed("rank", "mass")
         linked = pool.join(best.select("query_id", F.col("uri").alias("doc_id"), F.lit(1.0).alias("seed")), ["query_id", "doc_id"], "left").join(way, ["query_id", "doc_id"], "left")
         # seeds count as fully connected
         linked = linked.withColumn("score", F.coalesce("seed", "mass", F.lit(0.0))).withColumnRenamed("norm", "relevance")

@@ -21,7 +21,7 @@ _STORES: dict[tuple[str, str], Store] = {}
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.tables: dict[str, Cut] = {}
+        self.tables: dict[str, Cut | ranks.Links] = {}
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table `name`, written by the first call, and again if its files are gone."""
@@ -72,6 +72,14 @@ class Store:
         """(src, dst, p_key, predicate_label, weight, edge_type): shortcuts (`fr`) and the plain edges (`rdf`) that none replaces."""
         return self.kept("all_edges", lambda: relations.merged(self.edges, self.shortcuts))
 
+    @property
+    def links(self) -> ranks.Links:
+        """All edges in blocks, for personalised ranks."""
+        held = self.tables.get("links")
+        if held is None or not held.exists():
+            held = self.tables["links"] = ranks.Links(self.all_edges).keep()
+        return held
+
     @property
     def pagerank(self) -> DataFrame:
         """(uri, rank) over the shortcut edges, to the tolerance of `ranks`."""
