@@ -299,6 +299,21 @@ def entity_classes(triples: DataFrame, vertices: DataFrame, types: DataFrame, pa
     aliases = {p for r in learnt for p in ((r["x"], r["y"]), (r["y"], r["x"]))}
     links = pairs.df.mapInPandas(_verify(aliases), "uri_a string, uri_b string").distinct()
 
+    # beside frequent and short words, words that stand for each other with another initial meet under a fact with the two of them
+    turned = sorted((x, y) for x, y in aliases if x[0] != y[0])
+    if turned:
+        turned = spelt.df.sparkSession.createDataFrame(turned, "beside string, stands string")
+        told_by = every.select("uri", "year", "place", "words", "word", wide.alias("wide"), fact.alias("fact")).select("*", F.explode(F.array_except("words", F.array("word"))).alias("beside"))
+        two = told_by.join(turned, "beside").withColumn("fact", F.concat_ws("|", "fact", F.least("beside", "stands"), F.greatest("beside", "stands"))).withColumn("first", F.col("beside") < F.col("stands"))
+        two = Cut(two.select("uri", "year", "place", "words", "word", "wide", "fact", "first"))
+        # two words that are neither frequent nor short have met already
+        two_hot = two.df.join(two.df.where("NOT wide").select("fact").distinct(), "fact", "left_semi")
+        near = Cut(similar_words(two_hot.select("fact", "word").distinct()))
+        half = lambda s, which: two_hot.where(which).select("fact", *(F.col(c).alias(f"{c}_{s}") for c in ("uri", "year", "place", "words")), F.col("word").alias(f"core_{s}"))
+        met = half("a", "first").join(near.df.select("fact", F.col("word").alias("core_a"), F.col("other").alias("core_b")), ["fact", "core_a"]).join(half("b", "NOT first"), ["fact", "core_b"])
+        met = met.where("uri_a <> uri_b").where(agree).select("uri_a", "uri_b", "words_a", "words_b", "core_a", "core_b", F.lit(False).alias("both")).distinct()
+        links = links.unionByName(met.mapInPandas(_verify(aliases), "uri_a string, uri_b string").distinct())
+
     # without a known fact in common only a rare word can start a comparison, and all that it leads to must agree with each other
     rare = word.where(F.length("word") >= 8).join(counts.where(F.col("n") <= rare_most), "word").select("uri", "year", "place", "person", "words", "word")
     rare = Cut(rare.distinct())

@@ -47,6 +47,14 @@ def test_frequent_words_start_comparisons(spark):
     assert {(1, 2), (1, 3)} <= (got := run(spark, people + many)) and not any(4 in x or 5 in x for x in got)
 
 
+def test_nicknames_of_another_initial_beside_frequent_words(spark):
+    people = [(1, "William Falkeckabezza", "1700", "p1"), (2, "Bill Falkeckabezza", "1700", "p1"), (3, "William Tordessalska", "1701", "p2"), (4, "Bill Tordessalska", "1701", "p2")]
+    # Lang is short, Schneider has many bearers
+    people += [(5, "William Lang", "1766", None), (6, "Bill Lang", "1766", None), (7, "Bill Lang", "1816", None), (8, "Anna Lang", "1766", None), (11, "William Schneider", None, "p3"), (12, "Bill Schneidre", None, "p3")]
+    many = [(n, "Schneider Xaver", str(n + 1000), None) for n in range(100, 190)]
+    assert run(spark, people + many) == {(1, 2), (3, 4), (5, 6), (11, 12)}
+
+
 def test_misspelt_surnames_meet_without_a_common_fact(spark):
     people = [(1, "Antonia Tordessalska", "1766", None), (2, "Tordessalka, Antonia", None, "p1"), (3, "Maria Tordessalksa", None, None), (4, "Clara Falkeckabezza", "1700", None), (5, "Clara Falkekabezza", None, "p1"), (6, "Clara Falkeckabeza", "1800", None)]
     assert run(spark, people) == {(1, 2)}  # 5 may be 4 or 6
