@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,8 +19,10 @@ RRF = 60
 ALPHA, DIVERSITY, SIBLING = 0.7, 0.2, 0.3
 #: rows of a block of queries and of a block of vectors in the exact vector search; a task holds one of each
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
-#: the same for words; rows that a cell of them keeps at most, and pairs of query and document that are added at once
-ASKED_BLOCK, TEXT_BLOCK, KEPT_ROWS, PAIRS = 16384, 16384, 1 << 21, 1 << 20
+#: the same for words; rows that a block of queries keeps at most, and pairs of query and document that are added at once
+ASKED_BLOCK, TEXT_BLOCK, KEPT_ROWS, PAIRS = 16384, 4096, 1 << 21, 1 << 20
+#: rows that all searches by words keep together for each document, and queries of a block that is made to keep cores busy
+KEPT_PER_TEXT, LEAST_ASKED = 8, 64
 #: share of the documents from which on a word is frequent, and the most such words
 OFTEN, MOST_OFTEN = 0.1, 512
 _WORD = r"[\p{L}\p{N}_]{2,}"
@@ -34,34 +37,36 @@ def postings(documents: DataFrame) -> DataFrame:
 def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, over_fetch: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k documents of highest BM25 score, above 0, for each query (query_id, text).
 
-    Every different word of a query counts once. Queries and documents are cut into blocks; every pair of blocks is a cell that is searched in one task, and at most k rows
-    per query leave it, so no scored pair is shuffled. Documents travel as text, once per block of queries. With `allowed` (doc_id), only those
+    Every different word of a query counts once. Documents are written once, as blocks of numbered words; a task reads its share of them from there against one block of queries and keeps
+    k rows a query, so neither texts, queries nor scored pairs are shuffled. With `allowed` (doc_id), only those
     documents are ranked; by the reference's rule, with `over_fetch`, only the best over_fetch * k of all documents are searched for them. Equal scores go to the smaller doc_id.
     """
-    # the words of a document with blanks between them, found once
-    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), " ")
-    docs = Cut(documents.select("doc_id", words.alias("words"))).df.where("words <> ''")
+    docs = documents.select("doc_id", "text")
     if not docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
-        docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("words"), " ").alias("words"))  # rows of one id are one document
-    n, total = docs.agg(F.count("*"), F.sum(F.size(F.split("words", " ")))).first()
+        docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))  # rows of one id are one document
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    packed = Cut(docs.select("doc_id", words.alias("words")).mapInArrow(_packed_texts(TEXT_BLOCK), _TEXTS)).df
+    n, total = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     avg = total / n if n else 1.0
-    df = Cut(docs.select(F.explode(F.array_distinct(F.split("words", " "))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    asked = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), "term").join(df.df, "term")
-    asked = Cut(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
-    df.drop()
+    types = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (documents, "doc_id"))}
     fetched = k if allowed is None or over_fetch is None else over_fetch * k
-    qs, vs = max(1, -(-asked.df.count() // max(1, min(ASKED_BLOCK, KEPT_ROWS // fetched)))), max(1, -(-n // max(TEXT_BLOCK, 128 * fetched)))
-    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = asked.df.select("query_id", "terms", "dfs", block("query_id", qs).alias("qb"), every(vs).alias("vb"))
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "words")
     some = allowed is not None and over_fetch is None
-    if some:  # rows without words name the documents that are allowed
-        rows = rows.unionByName(allowed.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("words", F.lit(None).cast("string")))
-    right = rows.select("doc_id", "words", every(qs).alias("qb"), block("doc_id", vs).alias("vb"))
-    types = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (documents, "doc_id"))}
-    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_scored(fetched, n, avg, some), f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double")
-    # a query has at most `fetched` rows of each block
+    rows = packed.select("ids", "terms", "found", F.lit(None).cast("binary").alias("marks"))
+    if some:
+        places = packed.select("block", "ids").mapInArrow(_places, f"block bigint, place int, doc_id {types['doc_id']}").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        marks = Cut(places.groupBy("block").agg(F.collect_list("place").alias("places")).mapInArrow(_marks, "block bigint, marks binary")).df
+        rows = packed.join(marks, "block").select("ids", "terms", "found", "marks")
+    # shares of the documents: few enough that the rows that leave them are in proportion to the documents; blocks of queries that keep all cores busy
+    asking, cores = queries.count(), documents.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(packed.rdd.getNumPartitions(), 4 * cores, KEPT_PER_TEXT * n // max(1, asking * fetched)))
+    qs = max(1, -(-asking // max(1, min(ASKED_BLOCK, KEPT_ROWS // fetched))), min(-(-2 * cores // shares), asking // LEAST_ASKED))
+    df = packed.select("terms").mapInArrow(_frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    asked = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), "term").join(df, "term")
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int")).groupBy("qb").applyInArrow(_packed_queries, "qb int, queries binary")
+    # a product without a shuffle: a task streams its share of the documents and holds its block of queries
+    pairs = rows.coalesce(shares).crossJoin(Cut(asked).df.repartitionByRange(qs, "qb").hint("shuffle_replicate_nl"))
+    met = pairs.mapInArrow(_scored(fetched, n, avg), f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double")
+    # a query has at most `fetched` rows of each share
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fetched)
     if allowed is None or some:
@@ -69,90 +74,204 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFra
     return top(best.drop("rank").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
 
 
-def _scored(k: int, n: int, avg: float, some: bool):
-    """Scores of a block of queries and a block of documents: frequent words by a product of matrices, others by their pairs of query and document; a few documents at a time."""
-
-    def run(queries: pa.Table, documents: pa.Table) -> pa.Table:
-        documents = documents.sort_by("doc_id")
-        texts = documents.filter(pc.is_valid(documents["words"]))
-        if some:
-            texts = texts.filter(pc.is_in(texts["doc_id"], value_set=documents.filter(pc.is_null(documents["words"]))["doc_id"]))
-        names = ["query_id", "doc_id", "score"]
-        if not queries.num_rows or not texts.num_rows:
-            return pa.table([queries["query_id"].slice(0, 0), documents["doc_id"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        terms, freq = queries["terms"].combine_chunks(), queries["dfs"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        coded = terms.flatten().dictionary_encode()
-        vocabulary, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        nq, nv = queries.num_rows, len(vocabulary)
-        df = np.zeros(nv)
-        df[code] = freq
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        asker = np.repeat(np.arange(nq), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+_TEXTS = "block bigint, n bigint, total bigint, ids binary, terms binary, found binary"
+
+
+def _written(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(value: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks()
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks() if column.num_chunks else pa.array([], column.type)
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+
+def _packed_texts(size: int):
+    """Documents (doc_id, words) in blocks: ids with their lengths, different words with their numbers of documents, and (place of the document, place of the word, times). Documents without an id only count."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            b = b.filter(pc.greater(pc.fill_null(pc.list_value_length(b.column("words")), 0), 0))
+            for start in range(0, b.num_rows, size):
+                part = b.slice(start, size)
+                length = pc.list_value_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = part.column("words").flatten().dictionary_encode()
+                nv = len(coded.dictionary)
+                key, tf = np.unique(np.repeat(np.arange(len(length)), length) * nv + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                doc, term = key // nv, key % nv
+                terms = pa.table({"term": coded.dictionary, "df": pa.array(np.bincount(term, minlength=nv))})
+                named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                held = named[doc]
+                ids = pa.table({"doc_id": part.column("doc_id").filter(pa.array(named)), "length": pa.array(length[named])})
+                found = pa.table({"doc": pa.array((np.cumsum(named) - 1)[doc[held]].astype(np.int32)), "term": pa.array(term[held].astype(np.int32)), "tf": pa.array(tf[held].astype(np.int32))})
+                numbers = [pa.array([x], pa.int64()) for x in (number, len(length), int(length.sum()))]
+                yield _batch(_TEXTS, [*numbers, *(pa.array([_written(x)], pa.binary()) for x in (ids, terms, found))])
+                number += 1
+
+    return run
+
+
+def _frequencies(batches):
+    for b in batches:
+        for x in b.column(0):
+            t = _read(x)
+            yield _batch("term, df", [_array(t["term"]), _array(t["df"])])
+
+
+def _places(batches):
+    for b in batches:
+        for number, x in zip(b.column(0), b.column(1)):
+            ids = _array(_read(x)["doc_id"])
+            yield _batch("block, place, doc_id", [pa.array(np.full(len(ids), number.as_py())), pa.array(np.arange(len(ids), dtype=np.int32)), ids])
+
+
+def _marks(batches):
+    """A bit for each place of a block."""
+    for b in batches:
+        bits = []
+        for x in b.column(1):
+            places = x.values.to_numpy(zero_copy_only=False)
+            held = np.zeros(int(places.max()) + 1, np.uint8)
+            held[places] = 1
+            bits.append(np.packbits(held).tobytes())
+        yield _batch("block, marks", [b.column(0), pa.array(bits, pa.binary())])
+
+
+def _packed_queries(rows: pa.Table) -> pa.Table:
+    """A block of queries (query_id, term, df) in one row; the id of a query and its words are at the same place of two lists."""
+    asker, coded = rows["query_id"].combine_chunks().dictionary_encode(null_encoding="encode"), rows["term"].combine_chunks().dictionary_encode()
+    who, code = asker.indices.to_numpy(), coded.indices.to_numpy()
+    df = np.zeros(len(coded.dictionary), np.int64)
+    df[code] = rows["df"].to_numpy()
+    by = np.lexsort((code, who))
+    parts = pa.table({"query_id": asker.dictionary}), pa.table({"term": coded.dictionary, "df": pa.array(df)}), pa.table({"asker": pa.array(who[by]), "code": pa.array(code[by])})
+    whole = pa.table({"part": pa.array([_written(x) for x in parts], pa.binary())})
+    return pa.table([rows["qb"].slice(0, 1).cast(pa.int32()), pa.array([_written(whole)], pa.binary())], names=["qb", "queries"])
+
+
+def _in_order(ids: pa.Array) -> np.ndarray:
+    """Numbers that are in the order of the ids."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    coded = ids.dictionary_encode()
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    return place[coded.indices.to_numpy()]
+
+
+class _Search:
+    """The k best documents of a block of queries among blocks of documents: frequent words by a product of matrices, others by their pairs of query and document; a few documents at a time."""
+
+    def __init__(self, block: pa.Scalar, k: int, n: int, avg: float):
+        self.k, self.avg = k, avg
+        ids, terms, pairs = (_read(x) for x in _array(_read(block)["part"]))
+        self.ids, self.vocabulary = _array(ids["query_id"]), _array(terms["term"])
+        df, code, asker = terms["df"].to_numpy().astype(float), pairs["code"].to_numpy(), pairs["asker"].to_numpy()
+        nq, nv = len(self.ids), len(df)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         # words of so many documents that a product of matrices is cheaper; which words these are changes the work only
         often = np.argsort(-df, kind="stable")[:MOST_OFTEN]
         often = often[df[often] > OFTEN * n]
-        column = np.full(nv, -1)
-        column[often] = np.arange(len(often))
-        dense = np.zeros((len(often), nq))
-        held = column[code] >= 0
-        dense[column[code[held]], asker[held]] = idf[code[held]]
+        self.column = np.full(nv, -1)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), nq))
+        held = self.column[code] >= 0
+        self.dense[self.column[code[held]], asker[held]] = self.idf[code[held]]
         # queries by word, of the other words
         seldom, seldom_asker = code[~held], asker[~held].astype(np.int32)
-        by = np.argsort(seldom, kind="stable")
-        askers, number = seldom_asker[by], np.bincount(seldom, minlength=nv)
-        first = np.cumsum(number) - number
-
-        least, found = np.zeros(nq), []
-
-        def pruned():
-            q, d, s = (np.concatenate(x) for x in zip(*found))
-            near = np.round(s, 9)
-            order = np.lexsort((d, -near, q))
-            q, d, s, near = q[order], d[order], s[order], near[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            least[q[place == k - 1]] = near[place == k - 1]
-            found[:] = [tuple(x[place < k] for x in (q, d, s))]
-
-        step, held_rows = int(min(4096, max(16, (1 << 19) // nq))), 0
-        for start in range(0, texts.num_rows, 2048):
-            split = pc.split_pattern(texts["words"].slice(start, 2048).combine_chunks(), " ")
-            dl = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-            at = pc.index_in(split.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-            key = (np.repeat(np.arange(len(dl)), dl) * nv + at)[at >= 0]
-            key, tf = np.unique(key, return_counts=True)
-            doc, term = key // nv, key % nv
-            weight = tf / (tf + K1 * (1 - B + B * dl[doc] / avg))
-            for low in range(0, len(dl), step):
-                a, b = np.searchsorted(doc, (low, low + step))
-                d, t, w = doc[a:b] - low, term[a:b], weight[a:b]
-                rows = min(step, len(dl) - low)
-                c = column[t]
-                x = np.zeros((rows, len(often)))
-                x[d[c >= 0], c[c >= 0]] = w[c >= 0]
-                score = x @ dense
-                rest = (c < 0) & (number[t] > 0)
-                d, t, w = d[rest], t[rest], w[rest] * idf[t[rest]]
-                times = number[t]
-                # in parts, so that many askers of one word take no more memory
-                cuts = np.searchsorted(np.cumsum(times), np.arange(PAIRS, times.sum() + PAIRS, PAIRS), side="right") if len(times) else []
-                i = 0
-                for j in cuts:
-                    j = min(max(j, i + 1), len(times))
-                    if i >= j:
-                        continue
-                    m = times[i:j]
-                    place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - first[t[i:j]], m)
-                    score += np.bincount(np.repeat(d[i:j] * nq, m) + askers[place], weights=np.repeat(w[i:j], m), minlength=rows * nq).reshape(rows, nq)
-                    i = j
-                di, qi = np.nonzero((score > 0) & (score >= least - 1e-9))
-                found.append((qi.astype(np.int32), (di + (start + low)).astype(np.int32), score[di, qi]))
-                held_rows += len(qi)
-                if held_rows > max(1 << 19, 3 * nq * k // 2):
-                    pruned()
-                    held_rows = len(found[0][0])
-        pruned()
-        q, d, s = found[0]
-        return pa.table([queries["query_id"].take(pa.array(q)), texts["doc_id"].take(pa.array(d)), pa.array(s)], names=names)
+        self.askers, self.number = seldom_asker[np.argsort(seldom, kind="stable")], np.bincount(seldom, minlength=nv)
+        self.first = np.cumsum(self.number) - self.number
+        self.least, self.found, self.held_rows = np.zeros(nq), [], 0
+
+    def pruned(self) -> None:
+        ids = pa.concat_arrays([x[1] for x in self.found])
+        q, s = (np.concatenate([x[i] for x in self.found]) for i in (0, 2))
+        near = np.round(s, 9)
+        order = np.lexsort((_in_order(ids), -near, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        last = order[place == self.k - 1]
+        self.least[q[last]] = near[last]
+        kept = order[place < self.k]
+        self.found, self.held_rows = [(q[kept], ids.take(pa.array(kept)), s[kept])], len(kept)
+
+    def add(self, ids: pa.Table, terms: pa.Table, found: pa.Table, marks: bytes | None) -> None:
+        nq, length, doc_ids = len(self.ids), ids["length"].to_numpy(), _array(ids["doc_id"])
+        at = pc.index_in(_array(terms["term"]), value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        doc, term, tf = (found[c].to_numpy() for c in ("doc", "term", "tf"))
+        use = at >= 0
+        if marks is None:
+            use = use[term]
+        else:
+            allowed = np.zeros(len(length), bool)
+            bits = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(length)].astype(bool)
+            allowed[: len(bits)] = bits
+            use = use[term] & allowed[doc]
+            # documents that aren't allowed take no place
+            doc, doc_ids, length = (np.cumsum(allowed) - 1)[doc], doc_ids.filter(pa.array(allowed)), length[allowed]
+        doc, term, tf = doc[use], at[term[use]], tf[use]
+        weight = tf / (tf + K1 * (1 - B + B * length[doc] / self.avg))
+        step = int(min(4096, max(16, (1 << 19) // nq)))
+        for low in range(0, len(length), step):
+            a, b = np.searchsorted(doc, (low, low + step))
+            d, t, w = doc[a:b] - low, term[a:b], weight[a:b]
+            rows = min(step, len(length) - low)
+            c = self.column[t]
+            x = np.zeros((rows, len(self.dense)))
+            x[d[c >= 0], c[c >= 0]] = w[c >= 0]
+            score = x @ self.dense
+            rest = (c < 0) & (self.number[t] > 0)
+            d, t, w = d[rest], t[rest], w[rest] * self.idf[t[rest]]
+            times = self.number[t]
+            # in parts, so that many askers of one word take no more memory
+            cuts = np.searchsorted(np.cumsum(times), np.arange(PAIRS, times.sum() + PAIRS, PAIRS), side="right") if len(times) else []
+            i = 0
+            for j in cuts:
+                j = min(max(j, i + 1), len(times))
+                if i >= j:
+                    continue
+                m = times[i:j]
+                place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - self.first[t[i:j]], m)
+                score += np.bincount(np.repeat(d[i:j] * nq, m) + self.askers[place], weights=np.repeat(w[i:j], m), minlength=rows * nq).reshape(rows, nq)
+                i = j
+            di, qi = np.nonzero((score > 0) & (score >= self.least - 1e-9))
+            self.found.append((qi.astype(np.int32), doc_ids.take(pa.array(di + low)), score[di, qi]))
+            self.held_rows += len(qi)
+            if self.held_rows > max(1 << 19, 3 * nq * self.k // 2):
+                self.pruned()
+
+    def rows(self):
+        if self.found:
+            self.pruned()
+            q, d, s = self.found[0]
+            for i in range(0, len(q), 1 << 16):
+                yield _batch("query_id, doc_id, score", [self.ids.take(pa.array(q[i : i + (1 << 16)])), d.slice(i, 1 << 16), pa.array(s[i : i + (1 << 16)])])
+
+
+def _scored(k: int, n: int, avg: float):
+    """The k best rows of each query among the documents of a task."""
+
+    def run(batches):
+        searches: dict[int, _Search] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                value = {c: b.column(c)[i] for c in b.schema.names}
+                qb = value["qb"].as_py()
+                if qb not in searches:
+                    searches[qb] = _Search(value["queries"], k, n, avg)
+                searches[qb].add(*(_read(value[c]) for c in ("ids", "terms", "found")), value["marks"].as_py())
+        for x in searches.values():
+            yield from x.rows()
 
     return run
 

@@ -167,6 +167,25 @@ def test_modifiers_seeds_lists_and_batches(spark):
     assert sorted(map(len, got.values())) == [1, 4, 4, 36, 64] and set(range(64)) in got.values()
 
 
+def test_blocks_of_documents_make_no_copies_of_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 100)
+    rng = np.random.default_rng(6)
+    texts = {f"d{i:04d}": " ".join(f"word{x:05d}" for x in rng.integers(0, 20000, 40)) for i in range(3000)}
+    texts |= {f"e{i}": texts["d0000"] for i in range(5)}  # ties go to the smaller id, whatever its block
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(6, "text").cache()
+    asked = docs.where("doc_id LIKE '%00'").withColumnRenamed("doc_id", "query_id")
+    docs.count(), asked.count()
+    before = shuffled(spark)
+    got = retrieval.bm25(docs, asked, 4).collect()
+    assert shuffled(spark) - before < 700_000
+    assert {r["query_id"] for r in got} == {q for q in texts if q.endswith("00")}
+    assert all(r["doc_id"] == r["query_id"] for r in got if r["rank"] == 1)
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == "d0000"] == ["d0000", "e0", "e1", "e2"]
+    some = retrieval.bm25(docs, asked, 2, docs.where("doc_id > 'd0001'")).collect()
+    assert [r["doc_id"] for r in sorted(some, key=lambda r: r["rank"]) if r["query_id"] == "d0000"] == ["e0", "e1"]
+    assert retrieval.bm25(docs, asked.where("false"), 2).count() == retrieval.bm25(docs.where("false"), asked, 2, docs).count() == 0
+
+
 def test_nearest_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 11)
