@@ -28,11 +28,12 @@ def _corpus(spark, d) -> DataFrame:
     """(uri, label, doc_type, all_types, vec): one row per document with a usable vector, the smallest of its rows."""
 
     def make():
-        g = table(spark, d, "graph_documents").select(decoded(F.col("id")).alias("uri"), F.col("embedding").cast("array<double>").alias("vec"), F.coalesce("label", F.lit("")).alias("label"), "doc_type", "all_types")
+        g = table(spark, d, "graph_documents").select(decoded(F.col("id")).alias("uri"), F.col("embedding").alias("vec"), F.coalesce("label", F.lit("")).alias("label"), "doc_type", "all_types")
         g = g.where(named(F.col("uri")) & (F.size("vec") == DIMS) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0))
         return g.groupBy("uri").agg(F.min(F.struct("vec", "label", "doc_type", "all_types")).alias("x")).select("uri", "x.*")
 
-    return store(spark, d).kept("corpus", make)
+    # written in the type it is given in, which is half as long
+    return store(spark, d).kept("corpus", make).withColumn("vec", F.col("vec").cast("array<double>"))
 
 
 def _asked(spark, d) -> DataFrame:

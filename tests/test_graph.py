@@ -4,6 +4,7 @@ import numpy as np
 
 from loomgraph.functions.terms import decoded
 from loomgraph.operators import graph, labels, ontology, ranks, relations, retrieval, satellites, texts
+from loomgraph.plans import hybrid
 from loomgraph.sources import terms
 from pyspark.sql import functions as F
 
@@ -203,6 +204,15 @@ def test_nearest_against_brute_force(spark, monkeypatch):
             assert [got[f"d{i:02d}", r] for r in (1, 2, 3)] == [f"d{j:02d}" for j in near]
 
 
+def test_vectors_are_written_in_the_type_given(spark, tmp_path):
+    vec = [float(np.float32(0.1 * i)) for i in range(hybrid.DIMS)]
+    rows = [("https://x.example/work/1", "A", "T", ["T"], vec), ("https://x.example/work/1", "B", "T", ["T"], [v + 1 for v in vec]), ("https://x.example/work/2", "C", "T", ["T"], [0.0] * hybrid.DIMS)]
+    spark.createDataFrame(rows, "id string, label string, doc_type string, all_types array<string>, embedding array<float>").write.parquet(f"{tmp_path}/graph_documents.parquet")
+    got = hybrid._corpus(spark, str(tmp_path)).collect()
+    assert [(r["uri"], r["label"], r["vec"]) for r in got] == [("https://x.example/work/1", "A", vec)]
+    assert hybrid.store(spark, str(tmp_path)).tables["corpus"].df.schema["vec"].dataType.simpleString() == "array<float>"
+
+
 def test_chaining(spark):
     docs = spark.createDataFrame([("a", "x" * 500), ("b", "thin"), ("c", "alone"), ("d", "[Event] thin")], "uri string, doc string")
     e = spark.createDataFrame([("b", "a"), ("b", "a"), ("d", "a"), ("b", "d")], "src string, dst string")
