@@ -17,11 +17,11 @@ from ..session import Cut
 K1, B = 1.5, 0.75
 RRF = 60
 ALPHA, DIVERSITY, SIBLING = 0.7, 0.2, 0.3
-#: rows of a block of queries and of a block of vectors in the exact vector search; a task holds one of each
+#: rows of a block of queries and of a block of vectors in the exact vector search
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 #: the same for words; rows that a block of queries keeps at most, and pairs of query and document that are added at once
 ASKED_BLOCK, TEXT_BLOCK, KEPT_ROWS, PAIRS = 16384, 4096, 1 << 21, 1 << 20
-#: rows that all searches by words keep together for each document, and queries of a block that is made to keep cores busy
+#: rows that all tasks of a search keep together for each document, and queries of a block that is made to keep cores busy
 KEPT_PER_TEXT, LEAST_ASKED = 8, 64
 #: share of the documents from which on a word is frequent, and the most such words
 OFTEN, MOST_OFTEN = 0.1, 512
@@ -170,13 +170,45 @@ def _in_order(ids: pa.Array) -> np.ndarray:
     return place[coded.indices.to_numpy()]
 
 
-class _Search:
+class _Best:
+    """The k rows of highest score of each query of a block; scores equal to 9 decimals go to the smaller doc_id."""
+
+    def __init__(self, ids: pa.Array, k: int, least: float):
+        self.ids, self.k = ids, k
+        self.least, self.found, self.held_rows = np.full(len(ids), least), [], 0
+
+    def take(self, q: np.ndarray, doc_ids: pa.Array, scores: np.ndarray) -> None:
+        self.found.append((q.astype(np.int32), doc_ids, scores))
+        self.held_rows += len(q)
+        if self.held_rows > max(1 << 19, 3 * len(self.ids) * self.k // 2):
+            self.pruned()
+
+    def pruned(self) -> None:
+        ids = pa.concat_arrays([x[1] for x in self.found])
+        q, s = (np.concatenate([x[i] for x in self.found]) for i in (0, 2))
+        near = np.round(s, 9)
+        order = np.lexsort((_in_order(ids), -near, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        last = order[place == self.k - 1]
+        self.least[q[last]] = near[last]
+        kept = order[place < self.k]
+        self.found, self.held_rows = [(q[kept], ids.take(pa.array(kept)), s[kept])], len(kept)
+
+    def rows(self):
+        if self.found:
+            self.pruned()
+            q, d, s = self.found[0]
+            for i in range(0, len(q), 1 << 16):
+                yield _batch("query_id, doc_id, score", [self.ids.take(pa.array(q[i : i + (1 << 16)])), d.slice(i, 1 << 16), pa.array(s[i : i + (1 << 16)])])
+
+
+class _Search(_Best):
     """The k best documents of a block of queries among blocks of documents: frequent words by a product of matrices, others by their pairs of query and document; a few documents at a time."""
 
     def __init__(self, block: pa.Scalar, k: int, n: int, avg: float):
-        self.k, self.avg = k, avg
         ids, terms, pairs = (_read(x) for x in _array(_read(block)["part"]))
-        self.ids, self.vocabulary = _array(ids["query_id"]), _array(terms["term"])
+        super().__init__(_array(ids["query_id"]), k, 0.0)
+        self.avg, self.vocabulary = avg, _array(terms["term"])
         df, code, asker = terms["df"].to_numpy().astype(float), pairs["code"].to_numpy(), pairs["asker"].to_numpy()
         nq, nv = len(self.ids), len(df)
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -192,18 +224,6 @@ class _Search:
         seldom, seldom_asker = code[~held], asker[~held].astype(np.int32)
         self.askers, self.number = seldom_asker[np.argsort(seldom, kind="stable")], np.bincount(seldom, minlength=nv)
         self.first = np.cumsum(self.number) - self.number
-        self.least, self.found, self.held_rows = np.zeros(nq), [], 0
-
-    def pruned(self) -> None:
-        ids = pa.concat_arrays([x[1] for x in self.found])
-        q, s = (np.concatenate([x[i] for x in self.found]) for i in (0, 2))
-        near = np.round(s, 9)
-        order = np.lexsort((_in_order(ids), -near, q))
-        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
-        last = order[place == self.k - 1]
-        self.least[q[last]] = near[last]
-        kept = order[place < self.k]
-        self.found, self.held_rows = [(q[kept], ids.take(pa.array(kept)), s[kept])], len(kept)
 
     def add(self, ids: pa.Table, terms: pa.Table, found: pa.Table, marks: bytes | None) -> None:
         nq, length, doc_ids = len(self.ids), ids["length"].to_numpy(), _array(ids["doc_id"])
@@ -245,17 +265,7 @@ class _Search:
                 score += np.bincount(np.repeat(d[i:j] * nq, m) + self.askers[place], weights=np.repeat(w[i:j], m), minlength=rows * nq).reshape(rows, nq)
                 i = j
             di, qi = np.nonzero((score > 0) & (score >= self.least - 1e-9))
-            self.found.append((qi.astype(np.int32), doc_ids.take(pa.array(di + low)), score[di, qi]))
-            self.held_rows += len(qi)
-            if self.held_rows > max(1 << 19, 3 * nq * self.k // 2):
-                self.pruned()
-
-    def rows(self):
-        if self.found:
-            self.pruned()
-            q, d, s = self.found[0]
-            for i in range(0, len(q), 1 << 16):
-                yield _batch("query_id, doc_id, score", [self.ids.take(pa.array(q[i : i + (1 << 16)])), d.slice(i, 1 << 16), pa.array(s[i : i + (1 << 16)])])
+            self.take(qi, doc_ids.take(pa.array(di + low)), score[di, qi])
 
 
 def _scored(k: int, n: int, avg: float):
@@ -287,49 +297,100 @@ def top(scores: DataFrame, k: int, places: int = 9) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", within: str | None = None) -> DataFrame:
     """(query_id, doc_id, distance, rank): the k nearest of all (doc_id, vec) for every (query_id, vec), exactly.
 
-    metric l2 gives the squared Euclidean distance, cosine 1 - cosine. Queries meet vectors of their own length; vectors that are null or hold a null take no part. Both sides are cut
-    into blocks, every pair of blocks is a cell that is searched in one task, and k rows per query leave it, so nothing passes through the driver. Equal distances
+    metric l2 gives the squared Euclidean distance, cosine 1 - cosine. Queries meet vectors of their own length; vectors that are null or hold a null take no part. Vectors are written once
+    in blocks; a task reads its share of them from there against one block of queries and keeps k rows a query, so vectors aren't shuffled and nothing passes through the driver. Equal distances
     (to 9 decimals) go to the smaller doc_id. With `within`, a column of both sides, only rows that agree in it meet.
     """
-    more = [within] if within else []
-    usable = lambda f: f.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).withColumn("vec", F.col("vec").cast("array<double>")).withColumn("dims", F.size("vec"))
-    q, v = usable(queries.select("query_id", "vec", *more)), usable(vectors.select("doc_id", "vec", *more))
-    qs, vs = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("query_id", "vec", "dims", *more, block("query_id", qs).alias("qb"), every(vs).alias("vb"))
-    right = v.select("doc_id", "vec", "dims", *more, every(qs).alias("qb"), block("doc_id", vs).alias("vb"))
+    usable = lambda f: f.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).withColumn("part", F.col(within).cast("string") if within else F.lit(None).cast("string"))
+    q, v = usable(queries).select("query_id", "vec", "part"), usable(vectors).select("doc_id", "vec", "part")
     types = {c: f.schema[c].dataType.simpleString() for f, c in ((q, "query_id"), (v, "doc_id"))}
-    cell = ("dims", *more, "qb", "vb")
-    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(k, metric), f"query_id {types['query_id']}, doc_id {types['doc_id']}, distance double")
-    return top(met.select("query_id", "doc_id", (-F.col("distance")).alias("score")), k).select("query_id", "doc_id", (-F.col("score")).alias("distance"), "rank")
-
-
-def _cell(k: int, metric: str):
-    def matrix(t: pa.Table) -> np.ndarray:
-        return t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-
-    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        names = ["query_id", "doc_id", "distance"]
-        if not queries.num_rows or not vectors.num_rows:
-            return pa.table([queries.column("query_id").slice(0, 0), vectors.column("doc_id").slice(0, 0), pa.array([], pa.float64())], names=names)
-        vectors = vectors.sort_by("doc_id")
-        m, x = matrix(queries), matrix(vectors)
-        if metric == "cosine":
-            m, x = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300) for y in (m, x))
-        size, top_, q, c, d = (x**2).sum(1), min(k, len(x)), [], [], []
-        for start in range(0, len(m), 256):
-            part = m[start : start + 256]
-            far = 1 - part @ x.T if metric == "cosine" else (part**2).sum(1)[:, None] + size[None, :] - 2 * part @ x.T
+    rows = Cut(v.mapInArrow(_packed_vectors(VECTOR_BLOCK), _VECTORS)).df
+    asked = Cut(q).df
+    n, asking, cores = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], asked.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(rows.rdd.getNumPartitions(), 4 * cores, KEPT_PER_TEXT * n // max(1, asking * k)))
+    qs = max(1, -(-asking // QUERY_BLOCK), min(-(-2 * cores // shares), asking // LEAST_ASKED))
+    blocks = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int")).groupBy("qb").applyInArrow(_packed_vector_queries, "qb int, queries binary")
+    pairs = rows.coalesce(shares).crossJoin(Cut(blocks).df.repartitionByRange(qs, "qb").hint("shuffle_replicate_nl"))
+    met = pairs.mapInArrow(_measured(k, metric), f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double")
+    # a query has at most k rows of each share
+    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", (-F.col("score")).alias("distance"), "rank")
+
+
+_VECTORS = "n bigint, dims int, part string, rows binary"
+
+
+def _packed_vectors(size: int):
+    """Vectors (doc_id, vec, part) in blocks of one length and part."""
+
+    def run(batches):
+        for b in batches:
+            for (dims, part), at in _kinds(b):
+                for start in range(0, len(at), size):
+                    some = at[start : start + size]
+                    t = pa.Table.from_batches([b.take(pa.array(some))]).select(["doc_id", "vec"])
+                    yield _batch(_VECTORS, [pa.array([len(some)], pa.int64()), pa.array([dims], pa.int32()), pa.array([part], pa.string()), pa.array([_written(t)], pa.binary())])
+
+    return run
+
+
+def _kinds(rows: pa.RecordBatch | pa.Table):
+    """((length, part), places) of the rows (vec, part)."""
+    dims, coded = pc.list_value_length(rows.column("vec")).to_numpy(zero_copy_only=False), rows.column("part").to_pylist()
+    parts = {x: i for i, x in enumerate(dict.fromkeys(coded))}
+    named = list(parts)
+    which = np.array([parts[x] for x in coded], np.int64)
+    for key in np.unique(dims.astype(np.int64) * (len(named) + 1) + which):
+        d, i = divmod(int(key), len(named) + 1)
+        yield (d, named[i]), np.flatnonzero((dims == d) & (which == i))
+
+
+def _packed_vector_queries(rows: pa.Table) -> pa.Table:
+    return pa.table([rows["qb"].slice(0, 1).cast(pa.int32()), pa.array([_written(rows.select(["query_id", "vec", "part"]))], pa.binary())], names=["qb", "queries"])
+
+
+class _Near(_Best):
+    """The k nearest vectors of a block of queries of one length and part."""
+
+    def __init__(self, queries: pa.Table, k: int, metric: str):
+        super().__init__(_array(queries["query_id"]), k, -np.inf)
+        self.metric = metric
+        self.m = self.matrix(queries)
+
+    def matrix(self, t: pa.Table) -> np.ndarray:
+        x = _array(t["vec"]).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = x.reshape(t.num_rows, x.size // max(1, t.num_rows))
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if self.metric == "cosine" else x
+
+    def add(self, vectors: pa.Table) -> None:
+        x, ids = self.matrix(vectors), _array(vectors["doc_id"])
+        size, top_ = (x**2).sum(1), min(self.k, len(x))
+        for start in range(0, len(self.m), 256):
+            part = self.m[start : start + 256]
+            far = 1 - part @ x.T if self.metric == "cosine" else (part**2).sum(1)[:, None] + size[None, :] - 2 * part @ x.T
             near = np.round(far, 9)
-            qi, ci = np.nonzero(near <= np.partition(near, top_ - 1, axis=1)[:, top_ - 1 : top_])
-            order = np.lexsort((ci, near[qi, ci], qi))
-            qi, ci = qi[order], ci[order]
-            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            q.append(qi[place < k] + start)
-            c.append(ci[place < k])
-            d.append(far[qi, ci][place < k])
-        return pa.table([queries.column("query_id").take(pa.array(np.concatenate(q))), vectors.column("doc_id").take(pa.array(np.concatenate(c))), pa.array(np.concatenate(d))], names=names)
+            most = np.fmin(np.partition(near, top_ - 1, axis=1)[:, top_ - 1], -self.least[start : start + 256])
+            qi, ci = np.nonzero(near <= most[:, None])
+            self.take(qi + start, ids.take(pa.array(ci)), -far[qi, ci])
+
+
+def _measured(k: int, metric: str):
+    """The k nearest of each query among the vectors of a task."""
+
+    def run(batches):
+        searches: dict[int, dict[tuple, _Near]] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                value = {c: b.column(c)[i] for c in b.schema.names}
+                qb = value["qb"].as_py()
+                if qb not in searches:
+                    asked = _read(value["queries"])
+                    searches[qb] = {kind: _Near(asked.take(pa.array(at)), k, metric) for kind, at in _kinds(asked)}
+                if found := searches[qb].get((value["dims"].as_py(), value["part"].as_py())):
+                    found.add(_read(value["rows"]))
+        for x in searches.values():
+            for y in x.values():
+                yield from y.rows()
 
     return run
 

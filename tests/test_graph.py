@@ -204,6 +204,26 @@ def test_nearest_against_brute_force(spark, monkeypatch):
             assert [got[f"d{i:02d}", r] for r in (1, 2, 3)] == [f"d{j:02d}" for j in near]
 
 
+def test_vectors_are_not_copied_for_each_block_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 50)
+    x = np.round(np.random.default_rng(2).normal(size=(2000, 32)), 3)
+    x[1500] = x[3]  # a tie in another block
+    v = spark.createDataFrame([(i, [float(y) for y in x[i]], f"p{i % 3}" if i % 7 else None) for i in range(2000)], "doc_id bigint, vec array<double>, part string").repartition(4).cache()
+    q = v.where("doc_id % 20 = 3").withColumnRenamed("doc_id", "query_id").cache()
+    v.count(), q.count()
+    for metric, within in (("l2", None), ("cosine", None), ("l2", "part")):
+        before = shuffled(spark)
+        got = {(r["query_id"], r["rank"]): r["doc_id"] for r in retrieval.nearest(v, q, 3, metric, within).collect()}
+        assert shuffled(spark) - before < 500_000
+        kind = np.array([i % 3 if i % 7 else 3 for i in range(2000)])
+        assert len(got) == 300
+        for i in (3, 23, 1503, 1983):
+            far = 1 - x @ x[i] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[i]) if metric == "cosine" else ((x - x[i]) ** 2).sum(1)
+            near = [j for j in np.lexsort((np.arange(2000), np.round(far, 9))) if within is None or kind[j] == kind[i]][:3]
+            assert [got[i, r] for r in (1, 2, 3)] == near
+
+
 def test_vectors_are_written_in_the_type_given(spark, tmp_path):
     vec = [float(np.float32(0.1 * i)) for i in range(hybrid.DIMS)]
     rows = [("https://x.example/work/1", "A", "T", ["T"], vec), ("https://x.example/work/1", "B", "T", ["T"], [v + 1 for v in vec]), ("https://x.example/work/2", "C", "T", ["T"], [0.0] * hybrid.DIMS)]
