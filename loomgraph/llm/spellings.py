@@ -16,6 +16,7 @@ them, of one entity or with all facts equal), and how likely two names agree by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import decoded, local_key, local_name
 from ..functions.typed import int_value, trimmed
-from ..session import Cut
+from ..session import Cut, cut
 
 K = 2
 SHORTEST = 5
@@ -111,6 +112,7 @@ def similar_words(entries: DataFrame) -> DataFrame:
 
     Words of fewer than SHORTEST letters meet themselves only.
     """
+    entries = cut(entries)
     long = entries.where(F.length("word") >= SHORTEST)
     schema = "key string, fact string, word string"
     index = long.mapInPandas(_index, schema).select(F.xxhash64("key").alias("key"), F.col("fact").alias("fact2"), F.col("word").alias("other"))
@@ -233,7 +235,7 @@ def same_entities(triples: DataFrame, vertices: DataFrame, types: DataFrame, pat
 
     Facts that are both known and differ keep two URIs of a class apart.
     """
-    found = entity_classes(triples, vertices, types, path)
+    found = cut(entity_classes(triples, vertices, types, path))
     left = found.select("class", *(F.col(c).alias(f"{c}_a") for c in ("uri", "year", "place")))
     right = found.select("class", *(F.col(c).alias(f"{c}_b") for c in ("uri", "year", "place")))
     agree = "NOT coalesce(year_a <> year_b, false) AND NOT coalesce(place_a <> place_b, false)"
@@ -297,7 +299,8 @@ def entity_classes(triples: DataFrame, vertices: DataFrame, types: DataFrame, pa
     if len(learnt) > MAX_ALIASES:
         raise ValueError("more aliases than a vocabulary of names can have")
     aliases = {p for r in learnt for p in ((r["x"], r["y"]), (r["y"], r["x"]))}
-    links = pairs.df.mapInPandas(_verify(aliases), "uri_a string, uri_b string").distinct()
+    # each kind of link is written on its own: one plan of them all is planned again after each of its stages, which takes the driver's memory
+    links = [cut(pairs.df.mapInPandas(_verify(aliases), "uri_a string, uri_b string").distinct())]
 
     # beside frequent and short words, words that stand for each other with another initial meet under a fact with the two of them
     turned = sorted((x, y) for x, y in aliases if x[0] != y[0])
@@ -307,12 +310,12 @@ def entity_classes(triples: DataFrame, vertices: DataFrame, types: DataFrame, pa
         two = told_by.join(turned, "beside").withColumn("fact", F.concat_ws("|", "fact", F.least("beside", "stands"), F.greatest("beside", "stands"))).withColumn("first", F.col("beside") < F.col("stands"))
         two = Cut(two.select("uri", "year", "place", "words", "word", "wide", "fact", "first"))
         # two words that are neither frequent nor short have met already
-        two_hot = two.df.join(two.df.where("NOT wide").select("fact").distinct(), "fact", "left_semi")
+        two_hot = cut(two.df.join(two.df.where("NOT wide").select("fact").distinct(), "fact", "left_semi"))
         near = Cut(similar_words(two_hot.select("fact", "word").distinct()))
         half = lambda s, which: two_hot.where(which).select("fact", *(F.col(c).alias(f"{c}_{s}") for c in ("uri", "year", "place", "words")), F.col("word").alias(f"core_{s}"))
         met = half("a", "first").join(near.df.select("fact", F.col("word").alias("core_a"), F.col("other").alias("core_b")), ["fact", "core_a"]).join(half("b", "NOT first"), ["fact", "core_b"])
         met = met.where("uri_a <> uri_b").where(agree).select("uri_a", "uri_b", "words_a", "words_b", "core_a", "core_b", F.lit(False).alias("both")).distinct()
-        links = links.unionByName(met.mapInPandas(_verify(aliases), "uri_a string, uri_b string").distinct())
+        links.append(cut(met.mapInPandas(_verify(aliases), "uri_a string, uri_b string").distinct()))
 
     # without a known fact in common only a rare word can start a comparison, and all that it leads to must agree with each other
     rare = word.where(F.length("word") >= 8).join(counts.where(F.col("n") <= rare_most), "word").select("uri", "year", "place", "person", "words", "word")
@@ -323,7 +326,7 @@ def entity_classes(triples: DataFrame, vertices: DataFrame, types: DataFrame, pa
     alone = alone.select("uri_a", "uri_b", "words_a", "words_b", F.col("word").alias("core_a"), F.col("word").alias("core_b"), F.lit(False).alias("both"))
     alone = Cut(alone.mapInPandas(_verify(aliases, 1), "uri_a string, uri_b string").distinct()).df
     # so can a misspelt one between persons with another word in common
-    near = similar_words(rare.df.where("person").select(F.lit("").alias("fact"), "word").distinct()).where("word <> other").select("word", "other")
+    near = cut(similar_words(rare.df.where("person").select(F.lit("").alias("fact"), "word").distinct()).where("word <> other").select("word", "other"))
     astray = end("a").where("person_a").join(near, "word").withColumnRenamed("word", "core_a").join(end("b").where("person_b").withColumnRenamed("word", "other"), "other").where("uri_a < uri_b").where(agree).where(apart)
     astray = astray.withColumnRenamed("other", "core_b").where("arrays_overlap(array_except(words_a, array(core_a)), array_except(words_b, array(core_b)))")
     astray = Cut(astray.select("uri_a", "uri_b", "words_a", "words_b", "core_a", "core_b", F.lit(False).alias("both")).mapInPandas(_verify(aliases, 1), "uri_a string, uri_b string").distinct()).df
@@ -332,20 +335,20 @@ def entity_classes(triples: DataFrame, vertices: DataFrame, types: DataFrame, pa
     def agreed(met: DataFrame) -> DataFrame:
         ways = met.unionByName(met.select(F.col("uri_b").alias("uri_a"), F.col("uri_a").alias("uri_b")))
         seen = ways.join(facts.withColumnRenamed("uri", "uri_b"), "uri_b").groupBy(F.col("uri_a").alias("uri")).agg(F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("place").alias("p1"), F.max("place").alias("p2"))
-        single = seen.where("NOT coalesce(y1 <> y2, false) AND NOT coalesce(p1 <> p2, false)").select("uri")
-        return met.join(single.withColumnRenamed("uri", "uri_a"), "uri_a", "left_semi").join(single.withColumnRenamed("uri", "uri_b"), "uri_b", "left_semi").select("uri_a", "uri_b")
+        single = cut(seen.where("NOT coalesce(y1 <> y2, false) AND NOT coalesce(p1 <> p2, false)").select("uri"))
+        return cut(met.join(single.withColumnRenamed("uri", "uri_a"), "uri_a", "left_semi").join(single.withColumnRenamed("uri", "uri_b"), "uri_b", "left_semi").select("uri_a", "uri_b"))
 
-    links = links.unionByName(agreed(alone)).unionByName(agreed(alone.unionByName(astray).distinct()))
+    links += [agreed(alone), agreed(cut(alone.unionByName(astray).distinct()))]
 
     # names typed without blanks meet on all their letters, with a fact; equal words meet with a fact, or without one
     glued = spelt.df.select("uri", "year", "place", "glued", fact.alias("fact"))
     heads = glued.groupBy("glued", "fact").agg(F.min("uri").alias("uri_a"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("place").alias("p1"), F.max("place").alias("p2"))
     sure = "NOT coalesce(y1 <> y2, false) AND NOT coalesce(p1 <> p2, false)"
-    links = links.unionByName(glued.join(heads.where(sure), ["glued", "fact"]).select("uri_a", F.col("uri").alias("uri_b")).where("uri_a <> uri_b"))
+    links.append(cut(glued.join(heads.where(sure), ["glued", "fact"]).select("uri_a", F.col("uri").alias("uri_b")).where("uri_a <> uri_b")))
     # a namesake of another year or place must not part those who share one: each fact, both facts and no fact have groups of their own
     told = F.explode(F.concat(known_facts, F.array(F.coalesce(F.concat(F.lit("y"), "year", F.lit("|"), "place"), F.lit("")), F.lit(""))))
     equal = spelt.df.where("size(words) > 1").select("uri", "year", "place", F.array_join(F.array_sort("words"), " ").alias("name"), told.alias("fact")).distinct()
     heads = equal.groupBy("name", "fact").agg(F.min("uri").alias("uri_a"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("place").alias("p1"), F.max("place").alias("p2"))
-    links = links.unionByName(equal.join(heads.where(sure), ["name", "fact"]).select("uri_a", F.col("uri").alias("uri_b")).where("uri_a <> uri_b"))
+    links.append(cut(equal.join(heads.where(sure), ["name", "fact"]).select("uri_a", F.col("uri").alias("uri_b")).where("uri_a <> uri_b")))
 
-    return classes(Cut(links.distinct()).df).join(spelt.df.select("uri", "year", "place").distinct(), "uri")
+    return classes(cut(reduce(DataFrame.unionByName, links).distinct())).join(spelt.df.select("uri", "year", "place").distinct(), "uri")

@@ -1,7 +1,9 @@
 import itertools
 import random
+import re
 
 from loomgraph.llm import spellings as sp
+from loomgraph.session import Cut
 
 A = "https://id.example/agent/"
 T = "subject string, subject_label string, predicate string, object string, object_label string, uri_a string"
@@ -55,6 +57,22 @@ def test_nicknames_of_another_initial_beside_frequent_words(spark):
     assert run(spark, people + many) == {(1, 2), (3, 4), (5, 6), (11, 12)}
 
 
+def test_no_plan_takes_in_all_kinds_of_links(spark, monkeypatch):
+    # a plan is planned again after each of its stages, and the driver keeps what it was each time
+    people = [(1, "William Falkeckabezza", "1700", "p1"), (2, "Bill Falkeckabezza", "1700", "p1"), (3, "William Tordessalska", "1701", "p2"), (4, "Bill Tordessalska", "1701", "p2"), (5, "William Lang", "1766", None), (6, "Bill Lang", "1766", None)]
+    joins = []
+
+    class Spied(Cut):
+        def __init__(self, frame):
+            joins.append(len(re.findall(r"\bJoin\b", frame._jdf.queryExecution().optimizedPlan().toString())))
+            super().__init__(frame)
+
+    monkeypatch.setattr(sp, "Cut", Spied)
+    monkeypatch.setattr(sp, "cut", lambda frame: Spied(frame).df, raising=False)
+    assert run(spark, people) == {(1, 2), (3, 4), (5, 6)}
+    assert max(joins) <= 4
+
+
 def test_misspelt_surnames_meet_without_a_common_fact(spark):
     people = [(1, "Antonia Tordessalska", "1766", None), (2, "Tordessalka, Antonia", None, "p1"), (3, "Maria Tordessalksa", None, None), (4, "Clara Falkeckabezza", "1700", None), (5, "Clara Falkekabezza", None, "p1"), (6, "Clara Falkeckabeza", "1800", None)]
     assert run(spark, people) == {(1, 2)}  # 5 may be 4 or 6
