@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import Cut
-from .retrieval import top
+from .retrieval import _read, _written, top
 
 #: the iterations end when a round moves less than this in all
 TOLERANCE = 1e-6
 MOST_ROUNDS = 200
 #: edges of a block, about, when mass is pushed; edges of a vertex in a block from which on they are looked up last. Both change the work only.
 LINK_BLOCK, MANY_LINKS = 1_200_000, 256
+#: first ends of pairs in a block, at most, and in a block that is made to keep cores busy, at least
+PAIRED_BLOCK, LEAST_PAIRED = 2048, 64
 
 
 def _both_ways(edges: DataFrame, *columns: str) -> DataFrame:
@@ -282,18 +284,131 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int = 3, targets: Dat
     return targets.select("uri").distinct().join(seen.df, "uri", "left").select("uri", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
-def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_distances(edges: DataFrame | Links, pairs: DataFrame) -> DataFrame:
     """(a, b, distance) of the pairs (a, b) that are one to three undirected steps apart.
 
-    Neighbours of both ends are laid side by side: an edge between the ends, a common neighbour, or an edge between two neighbours. Hubs between them are never
-    expanded, so the work is that of the ends' own edges.
+    A block of edges holds the neighbours in it of every vertex. The neighbours of each `a` are listed once; in each block, the vertices next to any of them are marked once for
+    all pairs of `a`, and the neighbours of each `b` there are looked up among the marks. So neighbours of both ends are never paired, whatever hubs the ends and the vertices
+    between them are. Pairs are read from the shared folder by every block, and neither they nor edges are shuffled.
     """
-    both = _both_ways(edges).where("src <> dst").distinct()
-    p = Cut(pairs.select("a", "b").where("a <> b").distinct())
-    near = lambda end, name: both.join(p.df.select(F.col(end).alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias(end), F.col("dst").alias(name))
-    of_a, of_b = Cut(near("a", "x")), Cut(near("b", "y"))
-    one = p.df.join(of_a.df.select("a", F.col("x").alias("b")), ["a", "b"], "left_semi").withColumn("distance", F.lit(1))
-    sides = p.df.join(of_a.df, "a").join(of_b.df, "b")
-    two = sides.where("x = y").select("a", "b", F.lit(2).alias("distance"))
-    three = sides.join(both.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_semi").select("a", "b", F.lit(3).alias("distance"))
-    return one.unionByName(two).unionByName(three).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    links = edges if isinstance(edges, Links) else Links(edges.select("src", "dst", F.lit(1.0).alias("weight")))
+    number = lambda end: links.ids.df.select(F.col("uri").alias(end), F.col("id").alias(f"{end}_id"))
+    p = Cut(pairs.select("a", "b").where("a <> b").distinct().join(number("a"), "a").join(number("b"), "b"))
+    asked = Cut(p.df.groupBy("a_id").agg(F.collect_list("b_id").alias("bs")))
+    n, cores = asked.df.count(), links.packed.df.sparkSession.sparkContext.defaultParallelism
+    qs = max(1, -(-n // PAIRED_BLOCK), min(-(-2 * cores // links.blocks), n // LEAST_PAIRED))
+
+    def met(rows: DataFrame, run, schema: str) -> DataFrame:
+        blocks = rows.withColumn("qb", F.pmod(F.xxhash64("a_id"), F.lit(qs)).cast("int")).groupBy("qb").applyInArrow(_asked, "qb int, asked binary")
+        # a product without a shuffle: a task streams its blocks of edges and holds its blocks of pairs
+        each = links.packed.df.select("us", "counts", "at", "place").crossJoin(Cut(blocks).df.repartitionByRange(qs, "qb").hint("shuffle_replicate_nl"))
+        return each.mapInArrow(run, schema)
+
+    near = met(asked.df.select("a_id"), _next_to, "a_id bigint, xs array<bigint>").groupBy("a_id").agg(F.flatten(F.collect_list("xs")).alias("xs"))
+    least = met(asked.df.join(near, "a_id"), _steps(MANY_LINKS), "a_id bigint, b_id bigint, distance int").groupBy("a_id", "b_id").agg(F.min("distance").alias("distance"))
+    return p.df.join(least, ["a_id", "b_id"]).select("a", "b", "distance")
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    return pa.table([rows["qb"].slice(0, 1).cast(pa.int32()), pa.array([_written(rows.drop_columns(["qb"]))], pa.binary())], names=["qb", "asked"])
+
+
+class _Adjacent:
+    """The edges of a block, and the vertices of its other ends by place."""
+
+    def __init__(self, us: bytes, counts: bytes, at: bytes, place: bytes, many: int = 0):
+        self.us, self.counts, self.at, self.place = (np.frombuffer(x, t) for x, t in ((us, "int64"), (counts, "int32"), (at, "int64"), (place, "int32")))
+        self.first, self.many = np.concatenate(([0], np.cumsum(self.counts, dtype=np.int64))), many
+
+    def own(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the vertices among those with edges here, -1 for others."""
+        return _found(self.us, ids)
+
+    def places(self, own: int) -> np.ndarray:
+        return self.place[self.first[own] : self.first[own + 1]]
+
+    def _few(self, own: np.ndarray) -> np.ndarray:
+        n = self.counts[own].astype(np.int64)
+        return self.place[np.repeat(self.first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def mark(self, marks: np.ndarray, own: np.ndarray) -> None:
+        """Marks what is next to any of `own`."""
+        many = self.counts[own] > self.many
+        marks[self._few(own[~many])] = True
+        for j in own[many]:
+            marks[self.places(j)] = True
+
+    def meets(self, marks: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which of `own` are next to a mark."""
+        many = self.counts[own] > self.many
+        out, few = np.zeros(len(own), bool), np.flatnonzero(~many)
+        out[few] = np.bincount(np.repeat(np.arange(len(few)), self.counts[own[few]]), weights=marks[self._few(own[few])], minlength=len(few)) > 0
+        for i in np.flatnonzero(many):
+            at = self.places(own[i])
+            # most often one of the first is marked
+            out[i] = marks[at[: self.many + 1]].any() or marks[at[self.many + 1 :]].any()
+        return out
+
+
+def _found(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(ids):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+    return np.where(ids[at] == wanted, at, -1)
+
+
+def _blocks(batches, many: int = 0):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Adjacent(*(b.column(c)[i].as_py() for c in ("us", "counts", "at", "place")), many), _read(b.column("asked")[i])
+
+
+def _listed(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins and ends."""
+    column = t[name].combine_chunks()
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], ends))
+
+
+def _next_to(batches):
+    """What is next to each vertex in a block, if anything is."""
+    for block, asked in _blocks(batches):
+        ids = asked["a_id"].to_numpy()
+        own = block.own(ids)
+        ids, own = ids[own >= 0], own[own >= 0]
+        for low in range(0, len(own), 256):
+            found = [block.at[block.places(j)] for j in own[low : low + 256]]
+            lists = pa.LargeListArray.from_arrays(np.cumsum([0, *(len(x) for x in found)]), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 256]), lists.cast(pa.list_(pa.int64()))], names=["a_id", "xs"])
+
+
+def _steps(many: int):
+    """Steps between both ends of each pair by way of what a block holds, if there are three at most."""
+
+    def run(batches):
+        for block, asked in _blocks(batches, many):
+            ids, (xs, x_first), (bs, b_first) = asked["a_id"].to_numpy(), _listed(asked, "xs"), _listed(asked, "bs")
+            own_a, own_x, own_b, at_b = block.own(ids), block.own(xs), block.own(bs), _found(block.at, bs)
+            one, two = np.zeros(len(block.at), bool), np.zeros(len(block.at), bool)
+            steps = np.zeros(len(bs), np.int32)
+            for q in range(len(ids)):
+                low, high = b_first[q], b_first[q + 1]
+                b, at, s = own_b[low:high], at_b[low:high], steps[low:high]
+                if own_a[q] >= 0:
+                    mine = block.places(own_a[q])
+                    one[mine] = True
+                    s[(at >= 0) & one[at]] = 1
+                    left = np.flatnonzero((s == 0) & (b >= 0))
+                    s[left[block.meets(one, b[left])]] = 2
+                    one[mine] = False
+                left = np.flatnonzero((s == 0) & (b >= 0))
+                x = own_x[x_first[q] : x_first[q + 1]]
+                x = x[x >= 0]
+                if len(left) and len(x):
+                    block.mark(two, x)
+                    s[left[block.meets(two, b[left])]] = 3
+                    two[:] = False
+            near = steps > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.diff(b_first))[near]), pa.array(bs[near]), pa.array(steps[near])], names=["a_id", "b_id", "distance"])
+
+    return run

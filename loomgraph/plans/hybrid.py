@@ -157,7 +157,7 @@ def _features(spark, d) -> DataFrame:
         linked = linked.withColumn("score", F.coalesce("seed", "mass", F.lit(0.0))).withColumnRenamed("norm", "relevance")
         linked = retrieval.normalised(linked).withColumnRenamed("norm", "link").withColumnRenamed("relevance", "norm")
         pairs = linked.select("query_id", F.col("doc_id").alias("b")).join(_asked(spark, d).select("query_id", F.col("uri").alias("a")), "query_id")
-        bonus = pairs.join(retrieval.focus_bonus(ranks.pair_distances(s.all_edges, pairs)), ["a", "b"]).select("query_id", F.col("b").alias("doc_id"), "bonus")
+        bonus = pairs.join(retrieval.focus_bonus(ranks.pair_distances(s.links, pairs)), ["a", "b"]).select("query_id", F.col("b").alias("doc_id"), "bonus")
         degree = graph.degrees(s.all_edges).withColumnRenamed("uri", "doc_id")
         out = linked.join(bonus, ["query_id", "doc_id"], "left").join(degree, "doc_id", "left")
         return out.select("query_id", "doc_id", "rank", "norm", "link", "label", "doc_type", retrieval.type_modifier(F.col("doc_type"), F.col("all_types")).alias("modifier"), F.coalesce("bonus", F.lit(0.0)).alias("bonus"), F.coalesce("degree", F.lit(0)).alias("degree"), "vec")

@@ -72,3 +72,44 @@ def test_nothing(spark, case):
     edges, seeds, _, _ = case
     assert ranks.pushed(edges.limit(0), seeds.limit(0)).count() == 0
     assert found(ranks.pushed(edges.limit(0), seeds.where("uri = 'unknown'"))) == pytest.approx({(3, "unknown"): 0.15})
+
+
+@pytest.mark.parametrize("many", [2, 256])
+def test_pair_distances(spark, case, monkeypatch, many):
+    """One to three steps, against a search from each end, over blocks of edges made once for many calls."""
+    edges = case[0].unionByName(spark.createDataFrame([("v001", "v001", 1.0), *((f"w{i}", f"w{i + 1}", 1.0) for i in range(5)), ("w5", "v002", 1.0)], case[0].schema))
+    ways = defaultdict(set)
+    for a, b, _ in edges.collect():
+        ways[a].add(b)
+        ways[b].add(a)
+    r = random.Random(3)
+    names = [*sorted(ways), "unknown"]
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(300)] + [("v001", x) for x in names] + [(x, y) for x in names if x[0] == "w" for y in names]
+    expected = {}
+    for a, b in pairs:
+        reached = {a}
+        for steps in (1, 2, 3):
+            reached = reached | {y for x in reached for y in ways[x]}
+            if a != b and b in reached:
+                expected.setdefault((a, b), steps)
+    assert {*expected.values()} == {1, 2, 3} and len(expected) < len({x for x in pairs if x[0] != x[1]})
+    monkeypatch.setattr(ranks, "LINK_BLOCK", 700)
+    monkeypatch.setattr(ranks, "MANY_LINKS", many)
+    monkeypatch.setattr(ranks, "PAIRED_BLOCK", 40)
+    given = spark.createDataFrame(pairs, "a string, b string")
+    links = ranks.Links(edges)
+    for way in (links, edges):
+        assert {(x["a"], x["b"]): x["distance"] for x in ranks.pair_distances(way, given).collect()} == expected
+    assert ranks.pair_distances(links, given.limit(0)).count() == 0
+    links.drop()
+    assert ranks.pair_distances(edges.limit(0), given).count() == 0
+
+
+def test_pair_distances_of_hubs(spark):
+    """Ends with 3,000 neighbours each, none in common: their neighbours aren't paired (9 million rows for a pair, 810 million in all)."""
+    hubs = [(f"h{i}", f"n{i}_{j}", 1.0) for i in range(10) for j in range(3000)]
+    links = ranks.Links(spark.createDataFrame([*hubs, ("n0_7", "n1_9", 1.0), ("n1_5", "n2_5", 1.0)], "src string, dst string, weight double"))
+    pairs = spark.createDataFrame([(f"h{i}", f"h{j}") for i in range(10) for j in range(10) if i != j], "a string, b string")
+    expected = {("h0", "h1"): 3, ("h1", "h0"): 3, ("h1", "h2"): 3, ("h2", "h1"): 3}
+    assert {(x["a"], x["b"]): x["distance"] for x in ranks.pair_distances(links, pairs).collect()} == expected
+    links.drop()
