@@ -403,6 +403,11 @@ def fused(lists: list[DataFrame], k: int) -> DataFrame:
     return top(union.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score")), k)
 
 
+def of_category(found: DataFrame, fc: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows of `found` (query_id, uri) that are of the category (query_id, fc) of their query by (fc, uri). What was found is looked up, so no query meets all documents of its category."""
+    return found.join(fc, "query_id").join(categories.select("fc", "uri"), ["fc", "uri"], "left_semi")
+
+
 def merged_slots(main: DataFrame, typed: DataFrame, pool: int, share: float = 0.5) -> DataFrame:
     """(query_id, doc_id, score, rank): the best of `main` with int(pool * share) slots kept for `typed`; main wins duplicates."""
     slots = int(pool * share)

@@ -122,8 +122,8 @@ def _typed(spark, d, central: bool) -> DataFrame:
     fc = _question_fc(spark, d)
     docs = _corpus(spark, d).select(F.col("uri").alias("doc_id"), "vec").join(_categories(spark, d), "doc_id")
     near = retrieval.nearest(docs, _asked(spark, d).select("query_id", "vec").join(fc, "query_id"), POOL, within="fc")
-    allowed = fc.join(_categories(spark, d), "fc").select("query_id", F.col("doc_id").alias("uri"))
-    words = _words(spark, d).join(_texts(spark, d).select("doc_id", "uri"), "doc_id").join(allowed, ["query_id", "uri"], "left_semi").groupBy("query_id", F.col("uri").alias("doc_id")).agg(F.min("rank").alias("rank"))
+    words = retrieval.of_category(_words(spark, d).join(_texts(spark, d).select("doc_id", "uri"), "doc_id"), fc, _categories(spark, d).withColumnRenamed("doc_id", "uri"))
+    words = words.groupBy("query_id", F.col("uri").alias("doc_id")).agg(F.min("rank").alias("rank"))
     words = graph.first_few(words, ["query_id"], ["rank", "doc_id"], POOL, "doc_id").select("query_id", "doc_id", F.col("r").alias("rank"))
     both = retrieval.fused([near, words], POOL)
     if not central:

@@ -325,3 +325,14 @@ def test_time_spans_and_categories(spark):
     types = spark.createDataFrame([("u:1", "http://x/E22_Thing"), ("u:1", "http://x#E21_Person")], "uri string, type_uri string")
     known = spark.createDataFrame([("E22_Thing", "Thing"), ("E21_person", "Actor")], "class_local string, fc string")
     assert [tuple(r) for r in graph.categories(types, known).collect()] == [("u:1", "Actor")]
+
+
+def test_found_of_category(spark):
+    """20,000 queries of a category with 20,000 documents: only what was found is looked up, not all 400 million pairs."""
+    ids = spark.range(20000)
+    found = ids.selectExpr("id AS query_id", "concat('u', id % 7) AS uri", "1 AS rank").unionByName(spark.createDataFrame([(1, "far", 2), (2, "u1", 3), (-1, "u1", 4)], "query_id bigint, uri string, rank int"))
+    fc = ids.selectExpr("id AS query_id", "CASE WHEN id = 2 THEN NULL ELSE 'Thing' END AS fc")
+    categories = ids.selectExpr("'Thing' AS fc", "concat('u', id + 1) AS uri").unionByName(spark.createDataFrame([("Place", "far"), (None, "u1")], "fc string, uri string"))
+    got = retrieval.of_category(found, fc, categories)
+    assert {(x["query_id"], x["uri"], x["rank"]) for x in got.collect()} == {(i, f"u{i % 7}", 1) for i in range(20000) if i % 7 and i != 2}
+    assert got.count() == len({i for i in range(20000) if i % 7 and i != 2})
